@@ -3,7 +3,7 @@
 A text's words are joined, as word pairs, to the positions of word pairs in templates (a fixed list, so it is broadcast;
 the pairs are found by a hash and their words are compared). A match of text position p and template position t votes for
 the diagonal p - t. Votes are summed by diagonal; diagonals of one template that lie next to each other (a word was put in
-or left out) are merged; a merged span counts when it covers ``coverage`` of the template's pairs. A base phrase counts
+or left out) are merged; a merged span counts when it covers ``coverage`` (0.82) of the template's pairs. A base phrase counts
 wherever all its words stand consecutively.
 
 Null and empty texts have no words, labels or places and score 0. Repeated rows give repeated rows; an empty table gives
@@ -93,7 +93,7 @@ def license_spans(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tup
     return spans.drop("span", "pairs")
 
 
-def license_report(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tuple = TEMPLATES, coverage: float = 0.8) -> DataFrame:
+def license_report(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tuple = TEMPLATES, coverage: float = 0.82) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     ``labels`` holds those of base phrases and of spans that cover enough of a template; ``score`` is the best cover.
