@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lathe.llm import exact_dedup, langid, near_dedup, packing, pii
 from lathe.llm.common import staged, workspace
-from lathe.llm.queries import PATTERN, TOKENIZER
+from lathe.llm.queries import TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids."""
-    return packing.pack(docs, TOKENIZER, PATTERN)
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [

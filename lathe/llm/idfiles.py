@@ -8,7 +8,7 @@ A file set is a folder of three Parquet tables, so that any store that Spark wri
   document's first id and of every 256th id after it. So any block, and any stretch between checkpoints, decodes alone.
 * ``parts``: part, start (ids in all parts before it). Parts ascend by doc_id.
 
-Codes have at most 20 bits (a parameter), found by package-merge, so one table of 2**20 entries decodes an id a step; all
+Codes have at most 18 bits (a parameter), found by package-merge, so one table of 2**18 entries decodes an id a step; all
 stretches of a block advance together, as numpy vectors.
 
 Rows are written in ascending doc_id order, null doc_ids first; rows of equal doc_id by a hash of their text. A null text
@@ -17,15 +17,15 @@ counts as empty and holds just the end id. Repeated rows are all written; an emp
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.common import arrow_map, removed, schema_of, small_batches, staged, text_or_empty
+from lathe.llm.common import arrow_map, removed, schema_of, small_batches, staged, steps, text_or_empty
 from lathe.llm.texts import LibraryEncoder
 
 STRETCH = 256
@@ -74,30 +74,39 @@ class HuffmanCode:
         self.length_of[self.ids] = self.lengths
         self._table = None
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bit string, from the first byte's highest bit, and the bit offset of every 256th id."""
+    def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bit strings of texts with ``counts`` ids (none is empty), one behind the other, each from its first byte's highest
+        bit; the bytes of each; and the bit offset in its text of every 256th id of each."""
         if not len(ids):
-            return b"", np.zeros(0, np.int64)
+            return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
         lengths, codes = self.length_of[ids], self.code_of[ids]
         ends = np.cumsum(lengths)
-        at = ends - lengths
+        firsts = np.cumsum(counts) - counts
+        before = ends[firsts] - lengths[firsts]
+        sizes = (np.diff(np.append(before, ends[-1])) + 7) // 8
+        starts = 8 * (np.cumsum(sizes) - sizes)
+        at = ends - lengths + np.repeat(starts - before, counts)
         word, room = at >> 6, 64 - (at & 63) - lengths
-        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        own = np.where(room >= 0, codes << np.maximum(room, 0).astype(np.uint64), codes >> np.maximum(-room, 0).astype(np.uint64))
-        firsts = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[firsts]] = np.bitwise_or.reduceat(own, firsts)
-        over = room < 0
+        words = np.zeros((int(sizes.sum()) >> 3) + 2, np.uint64)
+        over = np.flatnonzero(room < 0)
+        own = codes << (room & 63).astype(np.uint64)
+        own[over] = codes[over] >> (-room[over]).astype(np.uint64)
+        edges = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[edges]] = np.bitwise_or.reduceat(own, edges)
         words[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::STRETCH]
+        stretches = -(-counts // STRETCH)
+        nth = np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        marks = at[np.repeat(firsts, stretches) + STRETCH * nth] - np.repeat(starts, stretches)
+        return words.astype(">u8").tobytes()[: int(sizes.sum())], sizes, marks
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids of stretches that begin at ``checkpoints`` and hold ``counts`` ids each."""
-        if self._table is None:
+        if self._table is None:  # for each string of ``most`` bits the id that begins it, and in the low byte its length
             spans = np.left_shift(1, self.most - self.lengths)
-            pad = (1 << self.most) - int(spans.sum())
-            self._table = (np.concatenate([np.repeat(self.ids, spans), np.zeros(pad, np.int64)]).astype(np.uint32), np.concatenate([np.repeat(self.lengths, spans), np.zeros(pad, np.int64)]).astype(np.uint8))
-        symbols, sizes = self._table
-        words = np.frombuffer(bits + bytes(16 + -len(bits) % 8), ">u8").astype(np.uint64)
+            self._table = np.zeros(1 << self.most, np.uint32)
+            self._table[: spans.sum()] = np.repeat(self.ids << 8 | self.lengths, spans)
+        plain = np.frombuffer(bits + bytes(4), np.uint8).astype(np.uint32)
+        four = plain[:-3] << 24 | plain[1:-2] << 16 | plain[2:-1] << 8 | plain[3:]  # 32 bits from each byte on
         order = np.argsort(-counts, kind="stable")
         left, at = counts[order], checkpoints[order].astype(np.int64)
         most = int(left[0]) if len(left) else 0
@@ -105,24 +114,49 @@ class HuffmanCode:
         made = np.zeros((most, len(order)), np.uint32)
         for i, n in enumerate(alive.tolist()):
             here = at[:n]
-            word, bit = here >> 6, (here & 63).astype(np.uint64)
-            window = (words[word] << bit) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - bit))
-            seen = (window >> np.uint64(64 - self.most)).astype(np.int64)
-            made[i, :n] = symbols[seen]
-            here += sizes[seen]
+            found = self._table[(four[here >> 3] << (here & 7).astype(np.uint32)) >> np.uint32(32 - self.most)]
+            made[i, :n] = found
+            here += found & 255
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        return made.T[back][np.arange(most)[None, :] < counts[:, None]]
+        return (made >> 8).T[back][np.arange(most)[None, :] < counts[:, None]]
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ENCODED = "doc_id long, tie long, ids binary, counts binary"
+
+
+def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id, tie (a hash of the text), ids: each text's ids and the end id, as unsigned 32-bit little-endian bytes.
+
+    Each task adds one row with null ids: ``counts`` has how often each id occurs in its rows, as 64-bit integers.
+    """
+    small_batches(docs.sparkSession)
+    end, fields = np.asarray([end_id], "<u4").tobytes(), schema_of(_ENCODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, total = LibraryEncoder.of(path), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in steps(batch, 2):
+                ids = [encoder.encode(x) + end for x in part.column(2).to_pylist()]
+                seen = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                if len(seen) > len(total):
+                    seen, total = total, seen
+                total[: len(seen)] += seen
+                columns = (part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(columns), schema=fields)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, total.tobytes()), fields, strict=True)], schema=fields)
+
+    text = text_or_empty()
+    return docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, _ENCODED)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The used ids of a task's ``counts``, and how often each occurs."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        values = batch.column(0)
-        a, b = values.offset, values.offset + len(values)
-        ends = np.frombuffer(values.buffers()[1], np.int32)[a : b + 1]
-        if len(values) and ends[-1] > ends[0]:
-            seen = np.bincount(np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4"))
+        for value in batch.column(0):
+            seen = np.frombuffer(value.as_py(), np.int64).copy()
             if len(seen) > len(total):
                 seen, total = total, seen
             total[: len(seen)] += seen
@@ -130,19 +164,6 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
-    """doc_id, tie (a hash of the text), ids: each text's ids and the end id, as unsigned 32-bit little-endian bytes."""
-    small_batches(docs.sparkSession)
-    end = np.asarray([end_id], "<u4").tobytes()
-
-    def rows(part: pa.RecordBatch) -> dict:
-        encoder = LibraryEncoder.of(path, pattern)
-        return {"doc_id": part.column(0), "tie": part.column(1), "ids": [encoder.encode(x) + end for x in part.column(2).to_pylist()]}
-
-    text = text_or_empty()
-    return arrow_map(docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text")), rows, "doc_id long, tie long, ids binary", "text")
-
-
 _BLOCK = "part int, block int, start long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, bits binary"
 
 
@@ -150,7 +171,7 @@ def _blocks(block_ids: int):
     fields = schema_of(_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, start, held = TaskContext.get().partitionId(), 0, 0, []
+        part, block, start, count, held = None, 0, 0, 0, []
 
         def made() -> pa.RecordBatch:
             sizes = [len(x[2]) for x in held]
@@ -159,37 +180,62 @@ def _blocks(block_ids: int):
             row = [part, block, start, [x[0] for x in held], [x[1] for x in held], at, b"".join(x[2] for x in held)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields, strict=True)], schema=fields)
 
-        count = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                count += row[1]
-                if count >= block_ids:
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (own != part or count >= block_ids):
                     yield made()
                     block, start, count, held = block + 1, start + count, 0, []
+                if own != part:
+                    part, block, start = own, 0, 0
+                held.append(row)
+                count += row[1]
         if held:
             yield made()
 
     return run
 
 
-def write_id_files(encoded: DataFrame, path: str, limit: int = 20, block_ids: int = BLOCK_IDS) -> None:
+def _place(doc_id: int | None, tie: int) -> tuple:
+    return (doc_id is not None, doc_id or 0, tie)
+
+
+def _bounds(encoded: DataFrame, parts: int, each: int = 60) -> list[tuple]:
+    """The least places of all parts but the first, from about ``each`` hashed rows a part."""
+    keys = encoded.select("doc_id", "tie")
+    rate = max(1, keys.count() // (each * parts))
+    some = keys.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(rate)) == 0).distinct().limit(4 * each * parts)
+    places = sorted(_place(*r) for r in some.collect())
+    return [places[i * len(places) // parts] for i in range(1, parts)] if places else []
+
+
+def write_id_files(encoded: DataFrame, path: str, limit: int = 18, block_ids: int = BLOCK_IDS) -> None:
     """Writes the rows of ``encode_texts`` as a file set in ascending doc_id order. It reads them twice or more, so stage them."""
     spark = encoded.sparkSession
     small_batches(spark)
-    counts = encoded.select("ids").mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where("counts is not null").select("counts").mapInArrow(_summed, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = encoded.where("ids is not null").select("doc_id", "tie", "ids")
     found = counts.toPandas().sort_values("id")  # at most one row for each id of the vocabulary
     ids, lengths = found["id"].to_numpy(np.int64), code_lengths(found["n"].to_numpy(), limit)
     spark.createDataFrame(list(zip(ids.tolist(), map(int, lengths), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((found["n"].to_numpy() * lengths).sum() >> 28))
+    bounds = _bounds(encoded, parts)
     shared = spark.sparkContext.broadcast((ids, lengths))
 
     def rows(part: pa.RecordBatch) -> dict:
-        code = _code(shared)
-        made = [code.encode(np.frombuffer(x, "<u4")) for x in part.column(2).to_pylist()]
-        return {"doc_id": part.column(0), "tie": part.column(1), "n": [len(x) // 4 for x in part.column(2).to_pylist()], "bits": [x for x, _ in made], "at": [x.astype("<i8").tobytes() for _, x in made]}
-
-    coded = arrow_map(encoded.select("doc_id", "tie", "ids"), rows, "doc_id long, tie long, n long, bits binary, at binary", "ids")
-    ordered = coded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "bits", "at")
+        code, texts = _code(shared), part.column(2).to_pylist()
+        counts = np.asarray([len(x) // 4 for x in texts], np.int64)
+        bits, sizes, marks = code.encode(np.frombuffer(b"".join(texts), "<u4"), counts)
+        ends, mark_ends, marks = np.cumsum(sizes), 8 * np.cumsum(-(-counts // STRETCH)), marks.astype("<i8").tobytes()
+        places = map(_place, part.column(0).to_pylist(), part.column(1).to_pylist())
+        return {
+            "part": [bisect_right(bounds, x) for x in places],
+            "doc_id": part.column(0), "tie": part.column(1), "n": counts,
+            "bits": [bits[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)],
+            "at": [marks[a:b] for a, b in zip([0, *mark_ends.tolist()], mark_ends.tolist(), strict=False)],
+        }
+
+    coded = arrow_map(encoded, rows, "part int, doc_id long, tie long, n long, bits binary, at binary", "ids", 1 << 19)
+    ordered = coded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "tie").select("part", "doc_id", "n", "bits", "at")
     ordered.mapInArrow(_blocks(block_ids), _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     sums = spark.read.parquet(f"{path}/blocks").select("part", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     totals = sorted(tuple(r) for r in sums.groupBy("part").agg(F.sum("n")).collect())  # one row for each partition
@@ -232,9 +278,9 @@ def read_id_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/blocks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def through_files(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
+def through_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
     """Encodes ``docs``, writes them to a file set in ``path`` and reads it back."""
-    encoded = staged(encode_texts(docs, tokenizer, pattern, end_id), f"{path}/encoded")
+    encoded = staged(encode_texts(docs, tokenizer, end_id), f"{path}/encoded")
     write_id_files(encoded, f"{path}/files")
     removed(docs.sparkSession, f"{path}/encoded")
     return read_id_files(docs.sparkSession, f"{path}/files")

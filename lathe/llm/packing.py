@@ -27,13 +27,13 @@ _ENCODED = "part int, before long, doc_id long, ids binary"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def encode_in_place(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
+def encode_in_place(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """part, before (ids of the part before the row), doc_id, ids (unsigned 32-bit little-endian, with the end id)."""
     small_batches(docs.sparkSession)
     end, fields = np.asarray([end_id], "<u4").tobytes(), schema_of(_ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = LibraryEncoder.of(path, pattern), TaskContext.get().partitionId(), 0
+        encoder, part, before = LibraryEncoder.of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in steps(batch, 1):
                 ids = [encoder.encode(x) + end for x in rows.column(1).to_pylist()]
@@ -46,10 +46,10 @@ def encode_in_place(docs: DataFrame, path: str, pattern: str, end_id: int) -> Da
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, _ENCODED)
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, length: int = 1024, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, path: str | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
     spark = docs.sparkSession
-    encoded = staged(encode_in_place(docs, tokenizer, pattern, end_id), f"{path or workspace(spark)}/encoded")
+    encoded = staged(encode_in_place(docs, tokenizer, end_id), f"{path or workspace(spark)}/encoded")
     totals = encoded.groupBy("part").agg(F.max(F.col("before") + F.octet_length("ids") / 4).cast("long")).collect()  # one row a partition
     parts = sorted((r[0], r[1]) for r in totals)
     places = dict(zip((p for p, _ in parts), np.cumsum([0, *(n for _, n in parts)]).tolist(), strict=False))

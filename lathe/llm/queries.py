@@ -24,7 +24,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = idfiles.through_files(_documents(spark, sf_dir), workspace(spark), TOKENIZER, PATTERN, end_id=2)
+    back = idfiles.through_files(_documents(spark, sf_dir), workspace(spark), TOKENIZER, end_id=2)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -59,7 +59,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), TOKENIZER, PATTERN).drop("ids")
+    return packing.pack(_documents(spark, sf_dir), TOKENIZER).drop("ids")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import regex
 
 #: Behind a letter or number, white space or punctuation always begins a new match; no match looks back over it.
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \t\n\r]|\p{P})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
-#: Characters beyond these may have another class in another Unicode version; texts with them go to the library whole.
-_OLD = regex.compile(r"[^\t\n\r\x20-\x7e¡-ȳΑ-ΡΣ-ωА-я‐-‧‰-⁞€ぁ-ゔァ-ヺ一-龥]")
+#: Texts of these characters alone are split by ``_PLAIN``, which matches there as the byte-level split pattern does:
+#: they have had the same classes in all versions of Unicode. Other texts go to the library whole.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȳΑ-ΡΣ-ωА-яぁ-ゔァ-ヺ一-龥"
+_OTHER = re.compile(rf"[^\t\n\r\x20-\x7e¡-±´-¸»¿×÷‐-‧‰-⁞€{_LETTERS}]")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTERS}0-9]+| ?[0-9]+|\s+(?!\S)|\s+")
 
 
 def split_safely(text: str, limit: int = 1 << 16) -> Iterator[str]:
@@ -26,46 +32,69 @@ def split_safely(text: str, limit: int = 1 << 16) -> Iterator[str]:
     yield text[first:] if first else text
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in seen)
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+class _Matches(dict):
+    """Ids of matches of the split pattern, by the library's model. What is not here may be in ``before``."""
+
+    letters = _byte_letters()
+
+    def __init__(self, model, before: dict[str, bytes]):
+        super().__init__()
+        self.model, self.before = model, before
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self.before.get(match)
+        if ids is None:
+            tokens = self.model.tokenize(match.encode().decode("latin-1").translate(self.letters))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        self[match] = ids
+        return ids
+
+
 class LibraryEncoder:
-    """Ids of texts by a file of the tokenizers library, as bytes of little-endian unsigned 32-bit integers.
+    """Ids of texts by a byte-level BPE file of the tokenizers library, as bytes of little-endian unsigned 32-bit integers.
 
-    The library splits a text by ``pattern`` and encodes each match by itself. So each distinct match is encoded once and
-    kept, up to ``keep`` matches.
+    The library splits a text and applies its model to each match by itself. So each distinct match goes to the model once
+    and is kept: those of late, up to twice ``keep``.
+    Texts that might be split otherwise go to the library whole, and so does every text if its file asks for more than
+    byte-level splitting.
     """
 
     _made: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, path: str, pattern: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.matches, self.keep, self.ids = regex.compile(pattern), keep, {}
+        steps = json.loads(self.library.to_str())
+        split = steps["pre_tokenizer"] or {}
+        self.plain = steps["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.keep, self.matches = keep, _Matches(self.library.model, {})
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> LibraryEncoder:
+    def of(cls, path: str) -> LibraryEncoder:
         """The one of this worker process."""
         if path not in cls._made:
-            cls._made[path] = cls(path, pattern)
+            cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, text: str) -> bytes:
         out = []
         for part in split_safely(text):
-            if _OLD.search(part):
-                out += self._encoded([part])
+            if not self.plain or _OTHER.search(part):
+                out.append(np.asarray(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
-            found = self.matches.findall(part)
-            try:
-                out.append(b"".join(map(self.ids.__getitem__, found)))
-            except KeyError:
-                if len(self.ids) > self.keep:
-                    self.ids.clear()
-                new = list(set(found).difference(self.ids))
-                self.ids.update(zip(new, self._encoded(new), strict=True))
-                out.append(b"".join(map(self.ids.__getitem__, found)))
+            if len(self.matches) > self.keep:
+                self.matches.before = {}
+                self.matches = _Matches(self.library.model, dict(self.matches))
+            found = _PLAIN.findall(part)
+            out += itemgetter(*found)(self.matches) if len(found) > 1 else map(self.matches.__getitem__, found)
         return b"".join(out)
