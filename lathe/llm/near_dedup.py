@@ -14,9 +14,12 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 component needs a check, so:
 
 1. texts with equal word sequences are one vertex;
-2. every vertex of a bucket is checked against the bucket's first vertex, and components are formed; while a later count
-   finds many open pairs, other vertices take the first one's part, up to ``rounds`` times;
-3. all pairs left in a bucket that lie in different components and were not checked are checked. Nothing is capped.
+2. every vertex of a bucket is checked against the bucket's first vertex, and components are formed;
+3. buckets that hold several components are searched whole, block by block: a task compares two blocks of at most some
+   hundred vertices, and gives only pairs of different components whose signatures agree in nearly ``similarity`` of the
+   coordinates (2.5 standard deviations less), each pair in the first band that it shares. These are checked too.
+
+So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped.
 
 Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
 which is the one kept; of repeated rows one is kept. Empty tables give empty tables. Other columns are ignored.
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ from lathe.llm.common import arrow_map, key_of, retained, small_batches, staged,
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _STEP, _MUL1, _MUL2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+#: Vertices of a bucket that one task compares with as many others.
+BLOCK = 512
 _LOW24 = _U((1 << 24) - 1)
 
 
@@ -140,23 +146,25 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """rid, doc_id, sha (of the text), words (digest of the word sequence; null: none), n, keys, prints for each row."""
+    """rid, doc_id, sha (of the text), words (digest of the word sequence; null: none), n, keys, sketch (a byte for each coordinate), prints for each row."""
     small_batches(docs.sparkSession)
     text = text_or_empty()
 
     def made(part: pa.RecordBatch) -> dict:
-        out: dict = {name: part.column(i) for i, name in enumerate(("rid", "doc_id", "sha"))} | {"words": [], "n": [], "keys": [], "prints": []}
+        out: dict = {name: part.column(i) for i, name in enumerate(("rid", "doc_id", "sha"))} | {"words": [], "n": [], "keys": [], "sketch": [], "prints": []}
         for x in part.column(3).to_pylist():
             words = words_of(x)
             found = shingles(words)
             out["words"].append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest() if words else None)
             out["n"].append(len(found))
-            out["keys"].append(band_hashes(signature(found, k), bands, rows))
+            sketch = signature(found, k)
+            out["keys"].append(band_hashes(sketch, bands, rows))
+            out["sketch"].append((sketch & _U(255)).astype(np.uint8).tobytes())
             out["prints"].append(np.sort((found >> _U(32)).astype("<u4")).tobytes())
         return out
 
     rows_in = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    return arrow_map(rows_in, made, "rid long, doc_id long, sha binary, words binary, n long, keys array<long>, prints binary", "text")
+    return arrow_map(rows_in, made, "rid long, doc_id long, sha binary, words binary, n long, keys array<long>, sketch binary, prints binary", "text")
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -193,16 +201,65 @@ def _linked(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame
     return arrow_map(near, made, "a long, b long, s double", "p").where(F.col("s") >= similarity)
 
 
-def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, bands: int = 48, rows: int = 8, rounds: int = 4, open_pairs: float = 2.0, path: str | None = None
-) -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of the class's vertices: links that were verified), kept, sha: one row for each row.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of rows with equal first three columns."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, table]) if held else table
+        ids = np.stack([held.column(i).to_numpy() for i in range(3)])
+        edges = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist()]
+        for first, last in zip(edges, edges[1:], strict=False):
+            yield held.slice(first, last - first)
+        held = held.slice(edges[-1])
+    if held and held.num_rows:
+        yield held
+
+
+def _searched(rows: DataFrame, bands: int, k: int, least: float) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a bucket and seem near enough.
 
-    ``rounds`` and ``open_pairs`` (pairs a vertex that may be left to the last step) choose between ways to the same classes.
+    Rows: h (bucket), n (its vertices), rid, comp, keys, sketch. A bucket's vertices are dealt to blocks, and each two
+    blocks, and each block with itself, are one group.
     """
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "keys", "sketch")
+
+    def near(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rid, comp, block = (group.column(c).to_numpy() for c in ("rid", "comp", "block"))
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rid), k)
+        h, i, j = (group.column(c)[0].as_py() for c in ("h", "i", "j"))
+        x = np.flatnonzero(block == i)
+        y = x if i == j else np.flatnonzero(block == j)
+        if not len(x) or not len(y):
+            return rid[:0], rid[:0]
+        fits = comp[x][:, None] != comp[y][None, :]
+        if i == j:
+            fits &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+        for band in range(int(np.argmax(keys[0] == h))):  # a pair belongs to the first band that it shares
+            fits &= keys[x, band][:, None] != keys[y, band][None, :]
+        at, to = np.nonzero(fits)
+        good = [(sketch[x[at[n : n + 20_000]]] == sketch[y[to[n : n + 20_000]]]).mean(1) >= least for n in range(0, len(at), 20_000)]
+        good = np.concatenate(good) if good else np.zeros(0, bool)
+        return rid[x[at[good]]], rid[y[to[good]]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            a, b = near(group)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+
+    return own.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, rows: int = 8, path: str | None = None) -> DataFrame:
+    """doc_id, class_id, class_size, n_links (of the row's text: links that were verified), kept, sha: one row for each row."""
     spark: SparkSession = docs.sparkSession
-    path = path or workspace(spark)
-    every = staged(signatures(docs, bands * rows, bands, rows), f"{path}/signatures")
+    path, k = path or workspace(spark), bands * rows
+    every = staged(signatures(docs, k, bands, rows), f"{path}/signatures")
     named = every.select("rid", "doc_id", "sha", F.coalesce("words", F.encode(F.concat(F.lit("-"), F.col("rid").cast("string")), "utf-8")).alias("words"))
     vertices = named.groupBy("words").agg(F.min("rid").alias("vertex"), F.count(F.lit(1)).alias("size"))
     vertices = staged(vertices, f"{path}/vertices")
@@ -210,42 +267,22 @@ def near_duplicates(
     keyed = every.select("rid", F.explode("keys").alias("h")).join(one, "rid", "left_semi")
     buckets = keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(keyed.join(buckets.select("h", "pivot"), "h"), f"{path}/shared")
-    members = shared.select("rid").distinct()
-    prints = staged(every.select("rid", "n", "prints").join(members, "rid", "left_semi"), f"{path}/prints")
-
-    checked = links = None
-    comp = spark.createDataFrame([], "v long, comp long")
-    open_rows = shared.select("h", "rid", "pivot", F.col("rid").alias("comp"))
-    limit = open_pairs * vertices.count()
-    for turn in range(rounds + 1):
-        here = f"{path}/round{turn}"
-        if turn < rounds:
-            pairs = open_rows.where("rid <> pivot and comp <> pivot_comp" if turn else "rid <> pivot").select(F.greatest("rid", "pivot").alias("a"), F.least("rid", "pivot").alias("b"))
-        else:
-            x, y = open_rows.select("h", "rid", "comp").toDF("h", "a", "c"), open_rows.select("h", "rid", "comp").toDF("h", "b", "d")
-            pairs = x.join(y, "h").where("a > b and c <> d").select("a", "b")
-        pairs = pairs.distinct() if checked is None else pairs.distinct().join(checked, ["a", "b"], "left_anti")
-        pairs = staged(pairs, f"{here}/pairs")
-        found = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{here}/links")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp = staged(components(links, f"{here}/components"), f"{here}/classes")
-        if turn == rounds:
-            break
-        # What is still open: buckets that hold vertices of more than one component.
-        labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        parts = labelled.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"))
-        mixed_buckets = parts.groupBy("h").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        mixed_buckets = staged(mixed_buckets, f"{here}/open")
-        left = mixed_buckets.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
-            break
-        open_rows = staged(labelled.join(mixed_buckets.select("h"), "h", "left_semi"), f"{here}/open_rows")
-        if left <= limit or turn + 1 == rounds:
-            rounds = turn + 1  # the last step follows
-            continue
-        first = open_rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("o"), "rid", "comp")).alias("p"))
-        open_rows = open_rows.join(first.select("h", F.col("p.rid").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "h")
+    prints = staged(every.select("rid", "n", "prints").join(shared.select("rid").distinct(), "rid", "left_semi"), f"{path}/prints")
+
+    pairs = staged(shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct(), f"{path}/pairs")
+    links = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{path}/links")
+    comp = components(links, f"{path}/components")
+
+    labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
+    open_rows = staged(labelled.join(open_buckets, "h"), f"{path}/open")
+    if not open_rows.isEmpty():
+        least = similarity - 2.5 * math.sqrt(similarity * (1 - similarity) / k)
+        held = every.select("rid", "keys", "sketch").join(open_rows.select("rid").distinct(), "rid", "left_semi")
+        more = _searched(open_rows.join(held, "rid"), bands, k, least).join(pairs, ["a", "b"], "left_anti")
+        found = staged(_linked(staged(more, f"{path}/more_pairs"), prints, similarity).select("a", "b"), f"{path}/more_links")
+        links = links.unionByName(found)
+        comp = components(links, f"{path}/more_components")
     return _classes(named, vertices, links, comp, path)
 
 

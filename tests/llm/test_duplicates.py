@@ -116,8 +116,8 @@ def test_near_query(spark, sf_dir):
     assert found_classes(QUERIES["op4_dart_minhash"](spark, sf_dir).collect(), rows) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 4])
-def test_all_ways_give_the_same_classes(spark, rounds):
+@pytest.mark.parametrize("block", [3, 512])
+def test_buckets_of_several_components(spark, block, monkeypatch):
     """Chains of near copies and a passage that many texts share, so that buckets hold several components."""
     rows, passage = [], prose(99, 150)
     for group in range(4):
@@ -127,7 +127,8 @@ def test_all_ways_give_the_same_classes(spark, rounds):
             rows.append(row(group * 100 + step, " ".join(words)))
     rows += [row(1000 + i, passage + " " + prose(500 + i, 30)) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, a0 string, a1 string, a2 string, a3 long, a4 long, a5 long, a6 long, a7 int, a8 string, a9 double, a10 boolean, a11 string")
-    found = near_dedup.near_duplicates(docs, rounds=rounds, open_pairs=0.0).collect()
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    found = near_dedup.near_duplicates(docs).collect()
     pairs = [(r[0], r[1]) for r in rows]
     assert found_classes(found, pairs) == brute_classes(pairs)
 
