@@ -16,21 +16,17 @@ _COUNTS = "class string, fold int, kind int, gram string, n long"
 HELD = 200_000
 
 
-def gram_counts(texts: DataFrame, units: Callable[[str], list[str]], grams: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
+def gram_counts(texts: DataFrame, units: Callable[[str], list[str]], grams: Callable[[Counter], Iterator[tuple[int, str, int]]]) -> DataFrame:
     """class, fold, kind, gram, n from rows (class, fold, text), summed in each task first.
 
-    A text is cut into units; each distinct unit's grams, given with their kinds, count as often as the unit.
+    A text is cut into units, which are counted; ``grams`` makes counts of grams, with their kinds, of those of units.
     """
     small_batches(texts.sparkSession)
     fields = schema_of(_COUNTS)
 
     def rows(held: dict) -> pa.RecordBatch:
-        made: Counter = Counter()
-        for (label, fold), counter in held.items():
-            for unit, n in counter.items():
-                for kind, gram in grams(unit):
-                    made[label, fold, kind, gram] += n
-        columns = [*zip(*made, strict=True), tuple(made.values())] if made else [()] * 5
+        made = [(label, fold, *row) for (label, fold), counter in held.items() for row in grams(counter)]
+        columns = [*zip(*made, strict=True)] if made else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

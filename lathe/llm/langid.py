@@ -30,6 +30,8 @@ from lathe.llm.counting import frequent, gram_counts
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 WORD = 0
+#: Words whose scores a worker process keeps, and some more within a text.
+KEPT = 250_000
 
 
 def words_of(text: str) -> list[str]:
@@ -41,11 +43,22 @@ def grams_of(word: str, n: int) -> Iterator[str]:
     return (ends[i : i + n] for i in range(len(ends) - n + 1))
 
 
-def _grams(word: str) -> Iterator[tuple[int, str]]:
-    yield WORD, word
-    for n in range(1, LONGEST + 1):
-        for gram in grams_of(word, n):
-            yield n, gram
+def _grams(words: Counter) -> Iterator[tuple[int, str, int]]:
+    """Only the longest n-grams are counted word by word, up to and over the word's end; their beginnings are the shorter."""
+    longest: dict[str, int] = {}
+    get, n = longest.get, LONGEST
+    for word, times in words.items():
+        ends = f"_{word}_\0\0\0"
+        for i in range(len(word) + 2):
+            gram = ends[i : i + n]
+            longest[gram] = get(gram, 0) + times
+    shorter: Counter = Counter()
+    for gram, times in longest.items():
+        gram = gram.rstrip("\0")
+        for k in range(1, len(gram) + 1):
+            shorter[gram[:k]] += times
+    yield from ((WORD, w, times) for w, times in words.items())
+    yield from ((len(g), g, times) for g, times in shorter.items())
 
 
 class LanguageModel:
@@ -54,49 +67,66 @@ class LanguageModel:
     def __init__(self, rows: list, totals: dict):
         self.languages = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(self.languages)}
-        self.known: dict[tuple[int, str], dict[int, int]] = {}
+        known: dict[tuple[int, str], dict[int, int]] = {}
         for label, kind, gram, n0, n1 in rows:
-            self.known.setdefault((kind, gram), {})[at[label]] = n0 + n1
-        self.totals = np.ones((LONGEST + 1, len(at)))
+            known.setdefault((kind, gram), {})[at[label]] = n0 + n1
+        sums = np.ones((LONGEST + 1, len(at)))
         for (label, kind, _), n in totals.items():
             if label in at:
-                self.totals[kind, at[label]] += n or 0
-        self._scores: dict[str, np.ndarray] = {}
-
-    def _frequency(self, kind: int, found: dict[int, int]) -> np.ndarray:
-        n = np.full(len(self.languages), 0.1)
-        for i, x in found.items():
-            n[i] += x
-        return np.log(n / self.totals[kind])
+                sums[kind, at[label]] += n or 0
+        self.logs = np.full((len(known), len(at)), 0.1)
+        self.known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for i, ((kind, gram), found) in enumerate(known.items()):
+            self.known[kind][gram] = i
+            for language, n in found.items():
+                self.logs[i, language] += n
+            self.logs[i] = np.log(self.logs[i] / sums[kind])
+        self._kept: dict[str, int] | None = None
 
     def word_scores(self, word: str) -> np.ndarray:
-        found = self.known.get((WORD, word))
-        if found:
-            return self._frequency(WORD, found)
+        at = self.known[WORD].get(word)
+        if at is not None:
+            return self.logs[at]
         for n in range(LONGEST, 0, -1):
-            parts = [self._frequency(n, x) for g in grams_of(word, n) if (x := self.known.get((n, g)))]
+            own = self.known[n]
+            parts = [i for g in grams_of(word, n) if (i := own.get(g)) is not None]
             if parts:
-                return np.mean(parts, axis=0)
+                return self.logs[parts].sum(0) / len(parts)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language, and its share of the probability (0 to 1)."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
-        total, many = np.zeros(len(self.languages)), 0
-        for word, n in Counter(words_of(text)).items():
-            scores = self._scores.get(word)
-            if scores is None:
-                if len(self._scores) > 300_000:
-                    self._scores.clear()
-                scores = self._scores[word] = self.word_scores(word)
-            total += n * scores
-            many += n
-        total /= math.sqrt(max(1, many))
+        if self._kept is None or len(self._kept) > KEPT:
+            self._kept = _WordRows(self)
+        words = words_of(text)
+        total = np.zeros(len(self.languages))
+        for first in range(0, len(words), KEPT):
+            some = words[first : first + KEPT]
+            rows = np.fromiter(map(self._kept.__getitem__, some), np.int64, len(some))
+            total += self._kept.scores[rows].sum(0)
+        total /= math.sqrt(max(1, len(words)))
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+class _WordRows(dict):
+    """Rows of ``scores`` by word; made when a word is first seen."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model, self.scores = model, np.zeros((KEPT, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        i = len(self)
+        if i == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[i] = self.model.word_scores(word)
+        self[word] = i
+        return i
+
+
 def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
     """From all rows (text, lang) where neither is null."""
     rows = docs.where("text is not null and lang is not null").select(F.col("lang").alias("class"), F.lit(0).alias("fold"), "text")

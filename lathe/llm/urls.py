@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,11 +70,14 @@ def _plain(url: str) -> str:
     return _DIGIT.sub("0", url.partition("://")[2].lower() if "://" in url else url.lower())
 
 
-def _grams(url: str) -> Iterator[tuple[int, str]]:
-    padded = "\x02" * (ORDER - 1) + url + "\x03"
-    for i in range(ORDER - 1, len(padded)):
-        for n in range(1, ORDER + 1):
-            yield n, padded[i - n + 1 : i + 1]
+def _grams(urls: Counter) -> Iterator[tuple[int, str, int]]:
+    made: Counter = Counter()
+    for url, times in urls.items():
+        padded = "\x02" * (ORDER - 1) + url + "\x03"
+        for i in range(ORDER - 1, len(padded)):
+            for n in range(1, ORDER + 1):
+                made[padded[i - n + 1 : i + 1]] += times
+    return ((len(g), g, n) for g, n in made.items())
 
 
 class MarkovModel:
