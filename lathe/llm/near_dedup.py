@@ -187,11 +187,8 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 def _linked(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is enough."""
     small_batches(pairs.sparkSession)
-    size = prints.select("rid", "n")
-    near = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-    near = near.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
     held = prints.select("rid", "prints")
-    near = near.join(held.toDF("a", "p"), "a").join(held.toDF("b", "q"), "b").select("a", "b", "p", "q")
+    near = pairs.join(held.toDF("a", "p"), "a").join(held.toDF("b", "q"), "b").select("a", "b", "p", "q")
 
     def made(part: pa.RecordBatch) -> dict:
         sides = (part.column(i).to_pylist() for i in (2, 3))
@@ -216,19 +213,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _searched(rows: DataFrame, bands: int, k: int, least: float) -> DataFrame:
+def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: float) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket and seem near enough.
 
-    Rows: h (bucket), n (its vertices), rid, comp, keys, sketch. A bucket's vertices are dealt to blocks, and each two
+    Rows: h (bucket), n (its vertices), rid, comp, size (shingles), keys, sketch. A bucket's vertices are dealt to blocks, and each two
     blocks, and each block with itself, are one group.
     """
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     own = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "keys", "sketch")
+    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "size", "keys", "sketch")
 
     def near(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rid, comp, block = (group.column(c).to_numpy() for c in ("rid", "comp", "block"))
+        rid, comp, block, size = (group.column(c).to_numpy() for c in ("rid", "comp", "block", "size"))
         keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rid), k)
         h, i, j = (group.column(c)[0].as_py() for c in ("h", "i", "j"))
@@ -237,6 +234,7 @@ def _searched(rows: DataFrame, bands: int, k: int, least: float) -> DataFrame:
         if not len(x) or not len(y):
             return rid[:0], rid[:0]
         fits = comp[x][:, None] != comp[y][None, :]
+        fits &= np.minimum(size[x][:, None], size[y][None, :]) >= similarity * np.maximum(size[x][:, None], size[y][None, :])
         if i == j:
             fits &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
         for band in range(int(np.argmax(keys[0] == h))):  # a pair belongs to the first band that it shares
@@ -269,7 +267,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     shared = staged(keyed.join(buckets.select("h", "pivot"), "h"), f"{path}/shared")
     prints = staged(every.select("rid", "n", "prints").join(shared.select("rid").distinct(), "rid", "left_semi"), f"{path}/prints")
 
-    pairs = staged(shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct(), f"{path}/pairs")
+    met = shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
+    size = prints.select("rid", "n")
+    near = met.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    pairs = staged(near.select("a", "b"), f"{path}/pairs")
     links = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{path}/links")
     comp = components(links, f"{path}/components")
 
@@ -278,8 +279,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     open_rows = staged(labelled.join(open_buckets, "h"), f"{path}/open")
     if not open_rows.isEmpty():
         least = similarity - 2.5 * math.sqrt(similarity * (1 - similarity) / k)
-        held = every.select("rid", "keys", "sketch").join(open_rows.select("rid").distinct(), "rid", "left_semi")
-        more = _searched(open_rows.join(held, "rid"), bands, k, least).join(pairs, ["a", "b"], "left_anti")
+        held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(open_rows.select("rid").distinct(), "rid", "left_semi")
+        more = _searched(open_rows.join(held, "rid"), bands, k, least, similarity).join(pairs, ["a", "b"], "left_anti")
         found = staged(_linked(staged(more, f"{path}/more_pairs"), prints, similarity).select("a", "b"), f"{path}/more_links")
         links = links.unionByName(found)
         comp = components(links, f"{path}/more_components")
