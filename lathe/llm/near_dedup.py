@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.common import arrow_map, key_of, retained, small_batches, staged, text_or_empty, workspace
+from lathe.llm.common import arrow_map, key_of, retained, sized, small_batches, staged, text_or_empty, workspace
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -261,11 +261,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     named = every.select("rid", "doc_id", "sha", F.coalesce("words", F.encode(F.concat(F.lit("-"), F.col("rid").cast("string")), "utf-8")).alias("words"))
     vertices = named.groupBy("words").agg(F.min("rid").alias("vertex"), F.count(F.lit(1)).alias("size"))
     vertices = staged(vertices, f"{path}/vertices")
-    one = vertices.select(F.col("vertex").alias("rid"))
+    one = sized(vertices.select(F.col("vertex").alias("rid")), 16)
     keyed = every.select("rid", F.explode("keys").alias("h")).join(one, "rid", "left_semi")
     buckets = keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(keyed.join(buckets.select("h", "pivot"), "h"), f"{path}/shared")
-    prints = staged(every.select("rid", "n", "prints").join(shared.select("rid").distinct(), "rid", "left_semi"), f"{path}/prints")
+    members = sized(staged(shared.select("rid").distinct(), f"{path}/members"), 16)
+    prints = staged(every.select("rid", "n", "prints").join(members, "rid", "left_semi"), f"{path}/prints")
 
     met = shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
     size = prints.select("rid", "n")
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     open_rows = staged(labelled.join(open_buckets, "h"), f"{path}/open")
     if not open_rows.isEmpty():
         least = similarity - 2.5 * math.sqrt(similarity * (1 - similarity) / k)
-        held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(open_rows.select("rid").distinct(), "rid", "left_semi")
+        held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members"), 16), "rid", "left_semi")
         more = _searched(open_rows.join(held, "rid"), bands, k, least, similarity).join(pairs, ["a", "b"], "left_anti")
         found = staged(_linked(staged(more, f"{path}/more_pairs"), prints, similarity).select("a", "b"), f"{path}/more_links")
         links = links.unionByName(found)
