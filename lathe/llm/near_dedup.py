@@ -17,9 +17,11 @@ component needs a check, so:
 2. every vertex of a bucket is checked against the bucket's first vertex, and components are formed;
 3. buckets that hold several components are searched whole, block by block: a task compares two blocks of at most some
    hundred vertices, and gives only pairs of different components whose signatures agree in nearly ``similarity`` of the
-   coordinates (2.5 standard deviations less), each pair in the first band that it shares. These are checked too.
+   coordinates (2.5 standard deviations less), each pair in the first band that it shares. At first only each vertex's
+   nearest one is checked; what then is still in different components is searched again, and every such pair is checked.
 
-So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped.
+So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. ``n_links`` counts
+the links that were verified on the way: they connect the class, but pairs within a component were never looked at.
 
 Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
 which is the one kept; of repeated rows one is kept. Empty tables give empty tables. Other columns are ignored.
@@ -213,8 +215,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a bucket and seem near enough.
+def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a bucket and seem near enough: all of them, or every vertex's nearest.
 
     Rows: h (bucket), n (its vertices), rid, comp, size (shingles), keys, sketch. A bucket's vertices are dealt to blocks, and each two
     blocks, and each block with itself, are one group.
@@ -224,7 +226,7 @@ def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: flo
     own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "size", "keys", "sketch")
 
-    def near(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def near(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rid, comp, block, size = (group.column(c).to_numpy() for c in ("rid", "comp", "block", "size"))
         keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rid), k)
@@ -232,7 +234,7 @@ def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: flo
         x = np.flatnonzero(block == i)
         y = x if i == j else np.flatnonzero(block == j)
         if not len(x) or not len(y):
-            return rid[:0], rid[:0]
+            return rid[:0], rid[:0], np.zeros(0)
         fits = comp[x][:, None] != comp[y][None, :]
         fits &= np.minimum(size[x][:, None], size[y][None, :]) >= similarity * np.maximum(size[x][:, None], size[y][None, :])
         if i == j:
@@ -240,17 +242,28 @@ def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: flo
         for band in range(int(np.argmax(keys[0] == h))):  # a pair belongs to the first band that it shares
             fits &= keys[x, band][:, None] != keys[y, band][None, :]
         at, to = np.nonzero(fits)
-        good = [(sketch[x[at[n : n + 20_000]]] == sketch[y[to[n : n + 20_000]]]).mean(1) >= least for n in range(0, len(at), 20_000)]
-        good = np.concatenate(good) if good else np.zeros(0, bool)
-        return rid[x[at[good]]], rid[y[to[good]]]
+        agree = [(sketch[x[at[n : n + 20_000]]] == sketch[y[to[n : n + 20_000]]]).mean(1) for n in range(0, len(at), 20_000)]
+        agree = np.concatenate(agree) if agree else np.zeros(0)
+        good = agree >= least
+        a, b, agree = rid[x[at[good]]], rid[y[to[good]]], agree[good]
+        if nearest:  # of each vertex, on either side, the pair that agrees most
+            ends, other, agree = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([agree, agree])
+            order = np.lexsort((other, -agree, ends))
+            first = order[np.flatnonzero(np.diff(ends[order], prepend=-1))]
+            a, b, agree = ends[first], other[first], agree[first]
+        return a, b, agree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            a, b = near(group)
+            a, b, agree = near(group)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64())], ["a", "b", "agree"])
 
-    return own.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long")
+    pairs = own.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long, agree double")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.distinct() if nearest else pairs
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, rows: int = 8, path: str | None = None) -> DataFrame:
@@ -275,16 +288,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     links = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{path}/links")
     comp = components(links, f"{path}/components")
 
-    labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
-    open_rows = staged(labelled.join(open_buckets, "h"), f"{path}/open")
-    if not open_rows.isEmpty():
-        least = similarity - 2.5 * math.sqrt(similarity * (1 - similarity) / k)
-        held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members"), 16), "rid", "left_semi")
-        more = _searched(open_rows.join(held, "rid"), bands, k, least, similarity).join(pairs, ["a", "b"], "left_anti")
-        found = staged(_linked(staged(more, f"{path}/more_pairs"), prints, similarity).select("a", "b"), f"{path}/more_links")
-        links = links.unionByName(found)
-        comp = components(links, f"{path}/more_components")
+    least = similarity - 2.5 * math.sqrt(similarity * (1 - similarity) / k)
+    for turn in ("nearest", "all"):
+        labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
+        open_rows = staged(labelled.join(open_buckets, "h"), f"{path}/open_{turn}")
+        if open_rows.isEmpty():
+            break
+        held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members_{turn}"), 16), "rid", "left_semi")
+        more = _searched(open_rows.join(held, "rid"), bands, k, least, similarity, turn == "nearest").join(pairs, ["a", "b"], "left_anti")
+        more = staged(more, f"{path}/pairs_{turn}")
+        found = staged(_linked(more, prints, similarity).select("a", "b"), f"{path}/links_{turn}")
+        pairs, links = pairs.unionByName(more), links.unionByName(found)
+        comp = components(links, f"{path}/components_{turn}")
     return _classes(named, vertices, links, comp, path)
 
 
