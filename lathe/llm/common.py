@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 STEP_BYTES = 4 << 20
 #: A side of a join is broadcast only when its rows were counted and need no more than this.
 BROADCAST_BYTES = 8 << 20
+#: A key with more than this part of a join's rows is dealt to several tasks.
+PIECES = 1000
 
 
 def workspace(spark: SparkSession) -> str:
@@ -57,6 +59,21 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, sizes: DataFrame, total: int, by: str) -> DataFrame:
+    """Inner join of many rows with one row for each key, where any key may hold a large part of the rows.
+
+    ``sizes`` has each key's number of rows in ``n``, of ``total`` in all. Rows of keys with more than 1 / ``PIECES`` of
+    the total are dealt by ``by`` to pieces of about that many, and these keys' one row goes to each piece. Fewer than
+    ``PIECES`` keys can be so large: this bounds what is broadcast.
+    """
+    piece = max(1, total // PIECES)
+    hot = F.broadcast(sizes.where(F.col("n") > piece).select(key, F.ceil(F.col("n") / piece).cast("int").alias("__pieces")))
+    pieces = F.coalesce("__pieces", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("__pieces")
+    right = groups.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

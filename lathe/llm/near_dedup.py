@@ -20,7 +20,8 @@ component needs a check, so:
    coordinates (2.5 standard deviations less), each pair in the first band that it shares. At first only each vertex's
    nearest one is checked; what then is still in different components is searched again, and every such pair is checked.
 
-So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. ``n_links`` counts
+So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. Joins by bucket,
+text, class, and ends of pairs and links are salted: a key with more than a thousandth of the rows is dealt to several tasks. ``n_links`` counts
 the links that were verified on the way: they connect the class, but pairs within a component were never looked at.
 
 Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.common import arrow_map, key_of, retained, sized, small_batches, staged, text_or_empty, workspace
+from lathe.llm.common import arrow_map, key_of, retained, salted_join, sized, small_batches, staged, text_or_empty, workspace
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -178,19 +179,21 @@ def components(edges: DataFrame, path: str) -> DataFrame:
             return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())
         before, turn = mark, turn + 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = salted_join(both, least.select("a", "m"), "a", least, 2 * mark[0], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = staged(large, f"{path}/{turn}-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = salted_join(large, least.select("a", "m"), "a", least, large.count(), "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = staged(small, f"{path}/{turn}")
 
 
 def _linked(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is enough."""
     small_batches(pairs.sparkSession)
-    held = prints.select("rid", "prints")
-    near = pairs.join(held.toDF("a", "p"), "a").join(held.toDF("b", "q"), "b").select("a", "b", "p", "q")
+    held, near, total = prints.select("rid", "prints"), pairs, pairs.count()
+    for end, other, name in (("a", "b", "p"), ("b", "a", "q")):
+        near = salted_join(near, held.toDF(end, name), end, pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), total, other)
+    near = near.select("a", "b", "p", "q")
 
     def made(part: pa.RecordBatch) -> dict:
         sides = (part.column(i).to_pylist() for i in (2, 3))
@@ -277,7 +280,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     one = sized(vertices.select(F.col("vertex").alias("rid")), 16)
     keyed = every.select("rid", F.explode("keys").alias("h")).join(one, "rid", "left_semi")
     buckets = keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(keyed.join(buckets.select("h", "pivot"), "h"), f"{path}/shared")
+    shared = staged(salted_join(keyed, buckets.select("h", "pivot"), "h", buckets, bands * every.count(), "rid"), f"{path}/shared")
     members = sized(staged(shared.select("rid").distinct(), f"{path}/members"), 16)
     prints = staged(every.select("rid", "n", "prints").join(members, "rid", "left_semi"), f"{path}/prints")
 
@@ -292,7 +295,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     for turn in ("nearest", "all"):
         labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
-        open_rows = staged(labelled.join(open_buckets, "h"), f"{path}/open_{turn}")
+        open_rows = staged(salted_join(labelled, open_buckets, "h", open_buckets, shared.count(), "rid"), f"{path}/open_{turn}")
         if open_rows.isEmpty():
             break
         held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members_{turn}"), 16), "rid", "left_semi")
@@ -308,9 +311,10 @@ def _classes(named: DataFrame, vertices: DataFrame, links: DataFrame, comp: Data
     ends = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count(F.lit(1)).alias("n_links"))
     whole = vertices.join(comp.select(F.col("v").alias("vertex"), "comp"), "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
     whole = whole.join(ends, "vertex", "left").select("words", "comp", "vertex", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = staged(named.join(whole, "words").select("rid", "doc_id", "sha", "comp", "n_links"), f"{path}/rows")
+    total = named.count()
+    rows = staged(salted_join(named, whole, "words", vertices.withColumnRenamed("size", "n"), total, "rid").select("rid", "doc_id", "sha", "comp", "n_links"), f"{path}/rows")
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(first, "comp").select(
+    return salted_join(rows, first, "comp", first.select("comp", F.col("class_size").alias("n")), total, "rid").select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("first.rid")).alias("kept"), "sha"
     )
 

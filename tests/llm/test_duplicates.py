@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lathe.llm import exact_dedup, near_dedup
+from lathe.llm import common, exact_dedup, near_dedup
 from lathe.llm.queries import QUERIES
 from tests.llm.conftest import prose, row
 
@@ -162,3 +162,16 @@ def test_signatures_estimate_similarity():
     values, counts = np.unique(counted, return_counts=True)
     assert (near_dedup.signature(counted, 384) == near_dedup.signature(values, 384, counts.astype(float))).all()
     assert len(near_dedup.signature(np.zeros(0, np.uint64), 8)) == 0
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECES", 10)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)], "a long, b long")
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    names = sizes.select("a", (F.col("a") * 2).alias("twice")).where("a <> 6")
+    for total in (300, 3000, 0):
+        out = common.salted_join(rows, names, "a", sizes, total, "b")
+        assert out.columns == ["a", "b", "twice"]
+        assert sorted(map(tuple, out.collect())) == sorted((a, b, 2 * a) for a, b in rows.collect() if a != 6)
+    none = rows.limit(0)
+    assert common.salted_join(none, names, "a", sizes.limit(0), 0, "b").collect() == []
