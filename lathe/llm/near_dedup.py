@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     one = sized(vertices.select(F.col("vertex").alias("rid")), 16)
     keyed = every.select("rid", F.explode("keys").alias("h")).join(one, "rid", "left_semi")
     buckets = keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = staged(buckets, f"{path}/buckets")
     shared = staged(salted_join(keyed, buckets.select("h", "pivot"), "h", buckets, bands * every.count(), "rid"), f"{path}/shared")
     members = sized(staged(shared.select("rid").distinct(), f"{path}/members"), 16)
     prints = staged(every.select("rid", "n", "prints").join(members, "rid", "left_semi"), f"{path}/prints")
