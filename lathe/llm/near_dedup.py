@@ -20,8 +20,9 @@ component needs a check, so:
    coordinates (2.5 standard deviations less), each pair in the first band that it shares. At first only each vertex's
    nearest one is checked; what then is still in different components is searched again, and every such pair is checked.
 
-So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. Joins by bucket,
-text, class, and ends of pairs and links are salted: a key with more than a thousandth of the rows is dealt to several tasks. ``n_links`` counts
+So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. Joins by open
+bucket, text, class, and ends of pairs and links are salted: a key with more than a thousandth of the rows is dealt to several
+tasks. The join of all rows with their buckets, the largest, leaves this to adaptive execution, as salting took more memory. ``n_links`` counts
 the links that were verified on the way: they connect the class, but pairs within a component were never looked at.
 
 Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     keyed = every.select("rid", F.explode("keys").alias("h")).join(one, "rid", "left_semi")
     buckets = keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = staged(buckets, f"{path}/buckets")
-    shared = staged(salted_join(keyed, buckets.select("h", "pivot"), "h", buckets, bands * every.count(), "rid"), f"{path}/shared")
+    shared = staged(keyed.join(buckets.select("h", "pivot"), "h"), f"{path}/shared")  # of two tables as they are: Spark splits hot keys
     members = sized(staged(shared.select("rid").distinct(), f"{path}/members"), 16)
     prints = staged(every.select("rid", "n", "prints").join(members, "rid", "left_semi"), f"{path}/prints")
 
