@@ -16,14 +16,13 @@ component needs a check, so:
 1. texts with equal word sequences are one vertex;
 2. every vertex of a bucket is checked against the bucket's first vertex, and components are formed;
 3. buckets that hold several components are searched whole, block by block: a task compares two blocks of at most some
-   hundred vertices, and gives only pairs of different components whose signatures agree in nearly ``similarity`` of the
-   coordinates (2.5 standard deviations less), each pair in the first band that it shares. At first only each vertex's
-   nearest one is checked; what then is still in different components is searched again, and every such pair is checked.
+   hundred vertices, and checks every pair of different components exactly, in the first band that the pair shares. Links
+   that it finds join components in the task at once, so it gives fewer links than it has vertices.
 
 So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. Joins by open
 bucket, text, class, and ends of pairs and links are salted: a key with more than a thousandth of the rows is dealt to several
 tasks. The join of all rows with their buckets, the largest, leaves this to adaptive execution, as salting took more memory. ``n_links`` counts
-the links that were verified on the way: they connect the class, but pairs within a component were never looked at.
+the links that were verified on the way: they connect the class, but pairs within a component were not looked at.
 
 Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
 which is the one kept; of repeated rows one is kept. Empty tables give empty tables. Other columns are ignored.
@@ -49,6 +48,8 @@ _U = np.uint64
 _STEP, _MUL1, _MUL2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: Vertices of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Shingles of each side that a task compares at a time.
+PIECE = 500_000
 _LOW24 = _U((1 << 24) - 1)
 
 
@@ -150,25 +151,23 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """rid, doc_id, sha (of the text), words (digest of the word sequence; null: none), n, keys, sketch (a byte for each coordinate), prints for each row."""
+    """rid, doc_id, sha (of the text), words (digest of the word sequence; null: none), n, keys, prints for each row."""
     small_batches(docs.sparkSession)
     text = text_or_empty()
 
     def made(part: pa.RecordBatch) -> dict:
-        out: dict = {name: part.column(i) for i, name in enumerate(("rid", "doc_id", "sha"))} | {"words": [], "n": [], "keys": [], "sketch": [], "prints": []}
+        out: dict = {name: part.column(i) for i, name in enumerate(("rid", "doc_id", "sha"))} | {"words": [], "n": [], "keys": [], "prints": []}
         for x in part.column(3).to_pylist():
             words = words_of(x)
             found = shingles(words)
             out["words"].append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest() if words else None)
             out["n"].append(len(found))
-            sketch = signature(found, k)
-            out["keys"].append(band_hashes(sketch, bands, rows))
-            out["sketch"].append((sketch & _U(255)).astype(np.uint8).tobytes())
+            out["keys"].append(band_hashes(signature(found, k), bands, rows))
             out["prints"].append(np.sort((found >> _U(32)).astype("<u4")).tobytes())
         return out
 
     rows_in = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    return arrow_map(rows_in, made, "rid long, doc_id long, sha binary, words binary, n long, keys array<long>, sketch binary, prints binary", "text")
+    return arrow_map(rows_in, made, "rid long, doc_id long, sha binary, words binary, n long, keys array<long>, prints binary", "text")
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -219,55 +218,84 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _searched(rows: DataFrame, bands: int, k: int, least: float, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a bucket and seem near enough: all of them, or every vertex's nearest.
-
-    Rows: h (bucket), n (its vertices), rid, comp, size (shingles), keys, sketch. A bucket's vertices are dealt to blocks, and each two
+def _elements(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the elements of sorted multisets, where each repeat counts as another element, and where each set starts."""
+    values = np.frombuffer(b"".join(prints), "<u4").astype(np.uint64)
+    starts = np.cumsum([0, *(len(p) // 4 for p in prints[:-1])])
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    new[starts] = True
+    firsts = np.flatnonzero(new)
+    repeat = np.arange(len(values)) - np.repeat(firsts, np.diff(np.append(firsts, len(values))))
+    return np.unique(values << _U(32) | repeat.astype(np.uint64), return_inverse=True)[1], starts
+
+
+def _pieces(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Cuts places where the sum of their sizes passes multiples of ``PIECE``."""
+    return np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) // PIECE)) + 1) if len(at) else []
+
+
+def _joining(prints: list[bytes], size: np.ndarray, comp: np.ndarray, x: np.ndarray, y: np.ndarray, fits: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of x and y that join components: each pair that fits is checked exactly unless links before it joined its ends."""
+    label = np.unique(comp, return_inverse=True)[1]
+    for left in _pieces(np.flatnonzero(fits.any(1)), size[x]):
+        for right in _pieces(np.flatnonzero(fits.any(0)), size[y]):
+            ids, starts = _elements([prints[v] for v in (*x[left], *y[right])])
+            ends, others = np.append(starts, len(ids)), ids[starts[len(left)] :]
+            held = np.zeros(ids.max() + 1, np.bool_)
+            for n, row in enumerate(left):
+                v = x[row]
+                wanted = fits[row, right] & (label[y[right]] != label[v])
+                if not wanted.any():
+                    continue
+                own = ids[ends[n] : ends[n + 1]]
+                held[own] = True
+                both = np.add.reduceat(held[others], starts[len(left) :] - starts[len(left)], dtype=np.int64)
+                held[own] = False
+                for w in y[right[wanted & (both / (size[v] + size[y[right]] - both) >= similarity)]]:
+                    if label[v] != label[w]:
+                        label[label == label[w]] = label[v]
+                        yield v, w
+
+
+def _searched(rows: DataFrame, bands: int, similarity: float) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket: enough of them to join all that links in the bucket join.
+
+    Rows: h (bucket), n (its vertices), rid, comp, size (shingles), keys, prints. A bucket's vertices are dealt to blocks, and each two
     blocks, and each block with itself, are one group.
     """
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     own = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "size", "keys", "sketch")
+    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "size", "keys", "prints")
 
-    def near(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(group: pa.Table) -> list[tuple[int, int]]:
         rid, comp, block, size = (group.column(c).to_numpy() for c in ("rid", "comp", "block", "size"))
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rid), k)
         h, i, j = (group.column(c)[0].as_py() for c in ("h", "i", "j"))
-        x = np.flatnonzero(block == i)
-        y = x if i == j else np.flatnonzero(block == j)
+        order = np.argsort(rid)
+        x = order[block[order] == i]
+        y = x if i == j else order[block[order] == j]
         if not len(x) or not len(y):
-            return rid[:0], rid[:0], np.zeros(0)
+            return []
         fits = comp[x][:, None] != comp[y][None, :]
         fits &= np.minimum(size[x][:, None], size[y][None, :]) >= similarity * np.maximum(size[x][:, None], size[y][None, :])
         if i == j:
             fits &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+        if not fits.any():
+            return []
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
         for band in range(int(np.argmax(keys[0] == h))):  # a pair belongs to the first band that it shares
             fits &= keys[x, band][:, None] != keys[y, band][None, :]
-        at, to = np.nonzero(fits)
-        agree = [(sketch[x[at[n : n + 20_000]]] == sketch[y[to[n : n + 20_000]]]).mean(1) for n in range(0, len(at), 20_000)]
-        agree = np.concatenate(agree) if agree else np.zeros(0)
-        good = agree >= least
-        a, b, agree = rid[x[at[good]]], rid[y[to[good]]], agree[good]
-        if nearest:  # of each vertex, on either side, the pair that agrees most
-            ends, other, agree = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([agree, agree])
-            order = np.lexsort((other, -agree, ends))
-            first = order[np.flatnonzero(np.diff(ends[order], prepend=-1))]
-            a, b, agree = ends[first], other[first], agree[first]
-        return a, b, agree
+        if not fits.any():
+            return []
+        return [(rid[v], rid[w]) for v, w in _joining(group.column("prints").to_pylist(), size, comp, x, y, fits, similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            a, b, agree = near(group)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64())], ["a", "b", "agree"])
+            if links := near(group):
+                yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()) for ends in zip(*links, strict=True)], ["a", "b"])
 
-    pairs = own.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long, agree double")
-    if nearest:
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.distinct() if nearest else pairs
+    links = own.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long")
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, rows: int = 8, path: str | None = None) -> DataFrame:
@@ -293,19 +321,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, r
     links = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{path}/links")
     comp = components(links, f"{path}/components")
 
-    least = similarity - 2.5 * math.sqrt(similarity * (1 - similarity) / k)
-    for turn in ("nearest", "all"):
-        labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
-        open_rows = staged(salted_join(labelled, open_buckets, "h", open_buckets, shared.count(), "rid"), f"{path}/open_{turn}")
-        if open_rows.isEmpty():
-            break
-        held = every.select("rid", F.col("n").alias("size"), "keys", "sketch").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members_{turn}"), 16), "rid", "left_semi")
-        more = _searched(open_rows.join(held, "rid"), bands, k, least, similarity, turn == "nearest").join(pairs, ["a", "b"], "left_anti")
-        more = staged(more, f"{path}/pairs_{turn}")
-        found = staged(_linked(more, prints, similarity).select("a", "b"), f"{path}/links_{turn}")
-        pairs, links = pairs.unionByName(more), links.unionByName(found)
-        comp = components(links, f"{path}/components_{turn}")
+    labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
+    open_rows = staged(salted_join(labelled, open_buckets, "h", open_buckets, shared.count(), "rid"), f"{path}/open")
+    if not open_rows.isEmpty():
+        held = every.select("rid", F.col("n").alias("size"), "keys", "prints").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members"), 16), "rid", "left_semi")
+        links = links.unionByName(staged(_searched(open_rows.join(held, "rid"), bands, similarity), f"{path}/links_open"))
+        comp = components(links, f"{path}/components_open")
     return _classes(named, vertices, links, comp, path)
 
 

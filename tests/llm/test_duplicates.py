@@ -133,6 +133,34 @@ def test_buckets_of_several_components(spark, block, monkeypatch):
     assert found_classes(found, pairs) == brute_classes(pairs)
 
 
+def test_links_that_signatures_underrate(spark):
+    """Two texts of similarity 0.8 agree in 0.74 of the coordinates, and meet only in buckets whose first vertex is like neither."""
+    core = prose(172, 268).rstrip(".").split()
+    texts = [core[:n] + core[n + 30 :] for n in range(0, 239, 8)] + [core + [f"{end}172x{i}" for i in range(33)] for end in "ab"]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    a, b = (near_dedup.shingles(near_dedup.words_of(text)) for _, text in rows[-2:])
+    assert near_dedup.weighted_jaccard(a, b) == 0.8 and (near_dedup.signature(a, 384) == near_dedup.signature(b, 384)).mean() < 0.74
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert found_classes(found, rows) == brute_classes(rows)
+
+
+def test_compared_in_pieces(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIECE", 100)
+    r = np.random.default_rng(2)
+    sets = [np.sort(r.integers(0, 60, n).astype("<u4")) for n in r.integers(40, 90, 30)]
+    size, every = np.array([len(x) for x in sets]), np.arange(30)
+    fits = every[:, None] < every[None, :]
+    links = list(near_dedup._joining([x.tobytes() for x in sets], size, every + 100, every, every, fits, 0.42))
+    up = {v: {v} for v in range(30)}
+    for v in range(30):
+        for w in range(v):
+            if near_dedup.weighted_jaccard(sets[v], sets[w]) >= 0.42 and up[v] is not up[w]:
+                up[v] |= up[w]
+                up |= dict.fromkeys(up[w], up[v])
+    assert all(near_dedup.weighted_jaccard(sets[v], sets[w]) >= 0.42 and up[v] is up[w] for v, w in links)
+    assert len(links) == 30 - len({id(x) for x in up.values()}) > 3
+
+
 def test_components(spark, tmp_path):
     r = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)]
