@@ -93,6 +93,17 @@ _IN_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?: dot [
 _IN_DIGITS = re.compile(rf"(?<!\w)(?:(?:plus|\+)\s{{0,3}})?(?:{_WORDS}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_WORDS}|[0-9]+|dot|point|punkt|punto)){{3,60}}(?!\w)", re.I)
 _TOKEN = re.compile(rf"\b(?:{_WORDS})\b|\b(?:dot|point|punkt|punto)\b|\bplus\b|[\s,-]+", re.I)
 _SPACED = re.compile(r" dot | at | @ | \. ", re.I)
+#: Words that prose has before "at" and the name of a site.
+_BEFORE_AT = frozenset(
+    "a an the and or but is are was were be been it its he she they we i you us me him her them this that these those here there "
+    "look looks looked looking site sites page pages website home online web blog more information info details available found find "
+    "see visit read shop buy hosted live up out now only not over also back data code docs documentation help support contact start "
+    "starts join order orders download downloads posted published listed works work worked working employed anywhere free all both "
+    "article articles news story version copy archive list email mail write ask call go get stay sign register registered meet "
+    "click seen located based learn report reports project sold on off down in away again directly everything something".split()
+)
+#: Any match of _IN_WORDS holds one of " @ ", " dot " and this.
+_AT_HOST = re.compile(rf" at [A-Za-z0-9-]{{1,63}}(?:(?: \. |\.)[A-Za-z0-9-]{{1,63}}){{0,5}}(?: \. |\.)(?:{_TOPS})(?![A-Za-z0-9])", re.I)
 _TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}{_INVISIBLE}！-～٠-٩۰-۹०-९]|[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT})\s{{0,3}}[\])}}>]| dot | @ |\b(?:{_WORDS})[\s,-]{{1,3}}(?:{_WORDS}|[0-9]+|dot|point|punkt|punto)\b", re.I)
 
 
@@ -129,6 +140,12 @@ def _numbers(run: str) -> str:
     return _TOKEN.sub(one, run)
 
 
+def _is_prose(found: str) -> bool:
+    """Such as "look at site.com": a common word, at, and a host name that isn't disguised."""
+    local, at, host = found.lower().partition(" at ")
+    return bool(at) and local in _BEFORE_AT and " " not in host
+
+
 def _edits(text: str) -> list[Edited]:
     """The transducers' texts, one after the other."""
     made = [Edited(text, [(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", text)])]
@@ -138,6 +155,8 @@ def _edits(text: str) -> list[Edited]:
     now = made[-1].text
     edits = []
     for m in _IN_WORDS.finditer(now):
+        if _is_prose(m[0]):
+            continue
         edits += [(m.start() + x.start(), m.start() + x.end(), "@" if x[0].strip().lower() in ("at", "@") else ".") for x in _SPACED.finditer(m[0])]
     made.append(Edited(now, edits))
     now = made[-1].text
@@ -150,7 +169,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base) in the order of ``base_spans``."""
     base = base_spans(text)
     out = [(*x, True) for x in base]
-    if _TRIGGER.search(text):
+    if _TRIGGER.search(text) or _AT_HOST.search(text):
         alike = text.translate(_LETTERS)  # as long as the text
         made = _edits(alike)
         if alike != text or any(x.edits for x in made):

@@ -152,6 +152,14 @@ def test_clean_texts_stay(text):
     assert pii.find_spans(text) == [] and pii.replaced(text, []) == text
 
 
+@pytest.mark.parametrize("text", ["Ask jane at example.com today", "Ask jane at example . com today", "Ask JANE AT Example.COM today", "We look at site.com today", "More at www.site.co.uk, we said"])
+def test_disguises_do_not_hang_on_far_text(text):
+    """A trigger elsewhere changes nothing, and the address is found without one."""
+    found = pii.find_spans(text)
+    assert found == pii.find_spans(f"{text} ж") == pii.find_spans(f"{text} dot ")
+    assert [text[a:b].lower()[:7] for a, b, *_ in found] == (["jane at"] if "jane" in text.lower() else [])
+
+
 def joined(spans):
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
