@@ -43,16 +43,18 @@ def gram_counts(texts: DataFrame, units: Callable[[str], list[str]], grams: Call
     return texts.select("class", "fold", "text").mapInArrow(run, _COUNTS).groupBy("class", "fold", "kind", "gram").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, share: float, path: str) -> tuple[list, dict]:
+def frequent(counts: DataFrame, share: float, path: str, everywhere: bool = False) -> tuple[list, dict]:
     """The rows (class, kind, gram, [n by fold 0 and 1]) of grams with at least ``share`` of their class and kind.
 
-    So there are at most 1 / share of them for each class and kind, however large the table: this bounds the model. Also
-    gives the totals by (class, kind, fold).
+    So there are at most 1 / share of them for each class and kind, however large the table: this bounds the model. With
+    ``everywhere``, a gram that one class keeps has its counts in all classes. Also gives the totals by (class, kind, fold).
     """
     both = counts.groupBy("class", "kind", "gram").agg(F.sum(F.when(F.col("fold") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("fold") == 1, F.col("n")).otherwise(0)).alias("n1"))
     both = staged(both, path)
     totals = both.groupBy("class", "kind").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
     sums = {(r[0], r[1], fold): r[2 + fold] for r in totals.collect() for fold in (0, 1)}  # one row for each class and kind
     kept = both.join(F.broadcast(totals), ["class", "kind"]).where(F.col("n0") + F.col("n1") >= share * (F.col("t0") + F.col("t1")))
+    if everywhere:
+        kept = both.join(kept.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi")
     table = kept.select("class", "kind", "gram", "n0", "n1").toArrow()
     return list(zip(*(c.to_pylist() for c in table.columns), strict=True)), sums

@@ -2,7 +2,8 @@
 
 The model is learned from labelled texts: how often each language has each word, and each n-gram of 1 to 4 characters of
 its words (with marks for their ends). All texts are counted; strings with at least 1 in 100,000 of a language's words, or
-n-grams of one length, make the model, so it has at most 100,000 strings a language and length whatever the corpus. A word
+n-grams of one length, make the model with their counts in all languages, so it has at most 100,000 strings a language and length
+whatever the corpus. A word
 that the model knows scores its log frequency in each language. An unseen one scores by its n-grams of 4 characters that
 the model knows; if it knows none, by those of 3, and so on. The highest mean over a text's words wins; of equal ones the
 first language by name.
@@ -130,7 +131,7 @@ class _WordRows(dict):
 def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
     """From all rows (text, lang) where neither is null."""
     rows = docs.where("text is not null and lang is not null").select(F.col("lang").alias("class"), F.lit(0).alias("fold"), "text")
-    return LanguageModel(*frequent(gram_counts(rows, words_of, _grams), 1e-5, f"{path or workspace(docs.sparkSession)}/grams"))
+    return LanguageModel(*frequent(gram_counts(rows, words_of, _grams), 1e-5, f"{path or workspace(docs.sparkSession)}/grams", everywhere=True))
 
 
 def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -3,12 +3,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lathe.llm import langid, licenses, pii, quality, urls
+from lathe.llm import counting, langid, licenses, pii, quality, urls
 from lathe.llm.queries import QUERIES
 
 
@@ -211,6 +212,21 @@ def test_languages_of_odd_rows(odd, empty):
     assert left.schema == odd.schema and left.count() == odd.where("text rlike '[a-zж]'").count()
 
 
+def test_kept_strings_have_their_counts_in_all_languages(spark, tmp_path):
+    counts = spark.createDataFrame([("a", 0, 0, "x", 90), ("b", 0, 0, "x", 5), ("b", 0, 0, "y", 5), ("b", 0, 0, "z", 90), ("a", 0, 1, "x", 0)], "class string, fold int, kind int, gram string, n long")
+    rows, totals = counting.frequent(counts, 0.5, str(tmp_path / "grams"), everywhere=True)
+    assert sorted(r[:4] for r in rows if r[1] == 0) == [("a", 0, "x", 90), ("b", 0, "x", 5), ("b", 0, "z", 90)]
+    assert totals["b", 0, 0] == 100
+
+
+def test_languages_count_words_that_another_keeps(spark):
+    """A word just below the share of one language has its count there, not 0.1."""
+    text = " ".join(f"w{'abcdefghij'[i % 10]}" for i in range(150_000))
+    rows = [("a", "kept " * 9 + text), ("b", "kept " + text)]
+    model = langid.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert abs(model.word_scores("kept") - np.log([9.1 / 150_010, 1.1 / 150_002])).max() < 1e-9
+
+
 def test_backoff_and_ties():
     grams = [("b", 0, "haus", 5, 0), ("a", 0, "house", 5, 0), ("a", 2, "ou", 9, 0), ("b", 2, "au", 9, 0), ("a", 1, "x", 1, 0), ("b", 1, "x", 1, 0)]
     model = langid.LanguageModel(grams, {(c, k, 0): 100 for c in "ab" for k in range(5)})
