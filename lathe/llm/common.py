@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,9 +36,27 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lathe-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``__`` in a name stands for a dot) that hold within the block only."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table and reads it back: cuts the lineage, and survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Writes a table and reads it back: cuts the lineage, and survives lost executors.
+
+    The shuffle files of the write go at its end, not when the driver next collects garbage.
+    """
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -120,6 +139,14 @@ def unnamed(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
+def free_name(taken: list[str], name: str = "key") -> str:
+    """A column name that is none of those taken, in any letter case."""
+    lower = {t.lower() for t in taken}
+    while name in lower:
+        name += "_"
+    return name
+
+
 def schema_of(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -130,9 +157,9 @@ def retained(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFr
     """The rows of ``docs`` whose key isn't dropped, and one of each key's rows.
 
     ``dropped`` and ``repeated`` are staged tables of ``row_key()`` in a column ``key``. Repeated rows are rows of equal
-    doc_id and text; where their other columns differ, any one of them stays.
+    doc_id and text; where their other columns differ, any one of them stays. No name of a column clashes.
     """
-    names, key = docs.columns, "__lathe_key"
+    names, key = docs.columns, free_name(docs.columns)
     keyed = docs.withColumn(key, row_key())
     left = keyed.join(sized(dropped.select(F.col("key").alias(key)), 64), key, "left_anti")
     if not repeated.isEmpty():

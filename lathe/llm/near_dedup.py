@@ -15,16 +15,22 @@ component needs a check, so:
 
 1. texts with equal word sequences are one vertex;
 2. every vertex of a bucket is checked against the bucket's first vertex, and components are formed;
-3. buckets that hold several components are searched whole, block by block: a task compares two blocks of at most some
-   hundred vertices, and checks every pair of different components exactly, in the first band that the pair shares. Links
-   that it finds join components in the task at once, so it gives fewer links than it has vertices.
-
-So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. Joins by open
-bucket, text, class, and ends of pairs and links are salted: a key with more than a thousandth of the rows is dealt to several
-tasks. The join of all rows with their buckets, the largest, leaves this to adaptive execution, as salting took more memory. ``n_links`` counts
-the links that were verified on the way: they connect the class, but pairs within a component were not looked at.
-
-Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
+3. buckets that hold several components are searched whole, block by block: a task compares two blocks of some hundred
+   vertices, and checks every pair of different components exactly. Links that it finds join components in the task at
+   once, so it gives fewer links than it has vertices.
+
+So no pair is emitted because of a shared bucket alone, no bucket is in one task, and nothing is capped. Buckets of equal
+members are searched once. In an open bucket only vertices outside its largest component are compared with all others: a
+block of those meets each block, so a bucket that one component nearly fills costs little more than its rows.
+
+Equal word sequences are found twice over: in a task, where only the first row gets a signature, and by a join, whose
+links need no check. Large tables are joined by sorted merges at every size. Joins by pivot, open bucket, text and class
+are salted: a key with more than a thousandth of the rows is dealt to several tasks. The join of all rows with their
+buckets, the largest, leaves this to adaptive execution, as salting took more memory. ``n_links`` counts the links that
+were verified on the way: they connect the class, but pairs within a component were not looked at.
+
+Very long texts have as many shingles as words; blocks are cut by shingles too, so a task holds a bounded number of them
+unless a single text has more. Null texts and texts without words are alone in their class. A class is named by its smallest doc_id (null: none known),
 which is the one kept; of repeated rows one is kept. Empty tables give empty tables. Other columns are ignored.
 """
 
@@ -41,13 +47,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.common import arrow_map, key_of, retained, salted_join, sized, small_batches, staged, text_or_empty, workspace
+from lathe.llm.common import arrow_map, key_of, removed, retained, salted_join, schema_of, small_batches, staged, steps, text_or_empty, workspace
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _STEP, _MUL1, _MUL2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-#: Vertices of a bucket that one task compares with as many others.
+#: Vertices of a bucket, about, that one task compares with as many others, and the shingles that they may have.
 BLOCK = 512
+BLOCK_SHINGLES = 4_000_000
 #: Shingles of each side that a task compares at a time.
 PIECE = 500_000
 _LOW24 = _U((1 << 24) - 1)
@@ -62,7 +69,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -71,6 +78,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget_words() -> None:
+    """Frees what a worker process keeps of words."""
+    _hashes.clear()
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -150,24 +162,38 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(values) - both)
 
 
+_SIGNED = "rid long, doc_id long, sha binary, words binary, n long, keys array<long>, prints binary"
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """rid, doc_id, sha (of the text), words (digest of the word sequence; null: none), n, keys, prints for each row."""
+    """rid, doc_id, sha (of the text), words (digest of the word sequence; null: none), n, keys, prints for each row.
+
+    Only a task's first row of each word sequence has keys and prints.
+    """
     small_batches(docs.sparkSession)
-    text = text_or_empty()
+    text, fields = text_or_empty(), schema_of(_SIGNED)
 
-    def made(part: pa.RecordBatch) -> dict:
-        out: dict = {name: part.column(i) for i, name in enumerate(("rid", "doc_id", "sha"))} | {"words": [], "n": [], "keys": [], "prints": []}
-        for x in part.column(3).to_pylist():
-            words = words_of(x)
-            found = shingles(words)
-            out["words"].append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest() if words else None)
-            out["n"].append(len(found))
-            out["keys"].append(band_hashes(signature(found, k), bands, rows))
-            out["prints"].append(np.sort((found >> _U(32)).astype("<u4")).tobytes())
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes | None] = {None}
+        for batch in batches:
+            for part in steps(batch, 3):
+                made: list[list] = [[], [], [], []]
+                for x in part.column(3).to_pylist():
+                    words = words_of(x)
+                    digest = hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest() if words else None
+                    row: tuple = (digest, 0, [], None)
+                    if digest not in seen:
+                        seen.add(digest)
+                        found = shingles(words)
+                        row = (digest, len(found), band_hashes(signature(found, k), bands, rows), np.sort((found >> _U(32)).astype("<u4")).tobytes())
+                    for column, value in zip(made, row, strict=True):
+                        column.append(value)
+                columns = [part.column(0), part.column(1), part.column(2), *(pa.array(c, f.type) for c, f in zip(made, [*fields][3:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
+        forget_words()
 
     rows_in = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    return arrow_map(rows_in, made, "rid long, doc_id long, sha binary, words binary, n long, keys array<long>, prints binary", "text")
+    return rows_in.mapInArrow(run, _SIGNED)
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -185,15 +211,16 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = salted_join(large, least.select("a", "m"), "a", least, large.count(), "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = staged(small, f"{path}/{turn}")
+        removed(now.sparkSession, f"{path}/{turn - 1}")
+        removed(now.sparkSession, f"{path}/{turn}-large")
 
 
 def _linked(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is enough."""
+    """The pairs (a, b) whose exact similarity is enough; any b may be in many pairs."""
     small_batches(pairs.sparkSession)
-    held, near, total = prints.select("rid", "prints"), pairs, pairs.count()
-    for end, other, name in (("a", "b", "p"), ("b", "a", "q")):
-        near = salted_join(near, held.toDF(end, name), end, pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), total, other)
-    near = near.select("a", "b", "p", "q")
+    held = prints.select("rid", "prints")
+    near = pairs.join(held.toDF("a", "p").hint("merge"), "a")
+    near = salted_join(near, held.toDF("b", "q"), "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), pairs.count(), "a").select("a", "b", "p", "q")
 
     def made(part: pa.RecordBatch) -> dict:
         sides = (part.column(i).to_pylist() for i in (2, 3))
@@ -257,20 +284,23 @@ def _joining(prints: list[bytes], size: np.ndarray, comp: np.ndarray, x: np.ndar
                         yield v, w
 
 
-def _searched(rows: DataFrame, bands: int, similarity: float) -> DataFrame:
+def _searched(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between components that meet in a bucket: enough of them to join all that links in the bucket join.
 
-    Rows: h (bucket), n (its vertices), rid, comp, size (shingles), keys, prints. A bucket's vertices are dealt to blocks, and each two
-    blocks, and each block with itself, are one group.
+    Rows: h (bucket), main (its largest component), n_main and s_main (vertices of that, and their shingles), n_rest and
+    s_rest (of the others), rid, comp, size (shingles), prints. Both kinds of vertices are dealt to blocks, the others'
+    first. Each block of the others is one group with each block, and with itself.
     """
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "size", "keys", "prints")
+    count = lambda kind: F.greatest(F.ceil(F.col(f"n_{kind}") / BLOCK), F.ceil(F.col(f"s_{kind}") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    own = rows.withColumn("m", count("main")).withColumn("r", count("rest"))
+    is_main, place = F.col("comp") == F.col("main"), F.xxhash64("rid")
+    own = own.withColumn("block", F.when(is_main, F.col("r") + F.pmod(place, "m")).otherwise(F.pmod(place, "r")).cast("int"))
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("r")).otherwise(F.col("r") + F.col("m")) - 1)).alias("other"))
+    own = own.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "size", "prints")
 
     def near(group: pa.Table) -> list[tuple[int, int]]:
         rid, comp, block, size = (group.column(c).to_numpy() for c in ("rid", "comp", "block", "size"))
-        h, i, j = (group.column(c)[0].as_py() for c in ("h", "i", "j"))
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
         order = np.argsort(rid)
         x = order[block[order] == i]
         y = x if i == j else order[block[order] == j]
@@ -282,11 +312,6 @@ def _searched(rows: DataFrame, bands: int, similarity: float) -> DataFrame:
             fits &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
         if not fits.any():
             return []
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
-        for band in range(int(np.argmax(keys[0] == h))):  # a pair belongs to the first band that it shares
-            fits &= keys[x, band][:, None] != keys[y, band][None, :]
-        if not fits.any():
-            return []
         return [(rid[v], rid[w]) for v, w in _joining(group.column("prints").to_pylist(), size, comp, x, y, fits, similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,43 +323,77 @@ def _searched(rows: DataFrame, bands: int, similarity: float) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def _met(every: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (h, rid, pivot) of buckets with several vertices, and rid, size, prints of those vertices.
+
+    Both steps shuffle 16 bytes for each row and band; prints move once.
+    """
+    firsts = every.where(F.size("keys") > 0)
+    keyed = firsts.select("rid", F.explode("keys").alias("h"))
+    buckets = staged(keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "pivot"), f"{path}/buckets")
+    shared = staged(keyed.join(buckets.hint("merge"), "h"), f"{path}/shared")  # of two tables as they are: Spark splits hot keys
+    removed(every.sparkSession, f"{path}/buckets")
+    members = shared.select("rid").distinct()
+    held = firsts.select("rid", F.col("n").alias("size"), "prints").join(members.hint("merge"), "rid", "left_semi")
+    return shared, staged(held, f"{path}/prints")
+
+
+def _open_rows(shared: DataFrame, prints: DataFrame, comp: DataFrame, path: str) -> DataFrame:
+    """The rows of ``_searched`` without prints: of buckets with several components, one bucket of those with equal members."""
+    nodes = prints.select("rid", "size").join(comp.select(F.col("v").alias("rid"), "comp").hint("merge"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    labelled = staged(shared.select("h", "rid").join(nodes.hint("merge"), "rid"), f"{path}/labelled")
+    x, y = F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
+    groups = labelled.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), x, y)
+    whole = groups.groupBy("h").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("comps"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("n", "comp", "s")).alias("top")
+    ).where("comps > 1")
+    once = whole.groupBy("n", "x", "y").agg(F.min(F.struct("h", "s", "top")).alias("one"))
+    once = once.select(
+        "one.h", "n", F.col("one.top.comp").alias("main"), F.col("one.top.n").alias("n_main"), F.col("one.top.s").alias("s_main"),
+        (F.col("n") - F.col("one.top.n")).alias("n_rest"), (F.col("one.s") - F.col("one.top.s")).alias("s_rest"),
+    )
+    once = staged(once, f"{path}/open_buckets")
+    rows = staged(salted_join(labelled, once.drop("n"), "h", once.select("h", "n"), labelled.count(), "rid"), f"{path}/open")
+    removed(rows.sparkSession, f"{path}/labelled")
+    return rows
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 48, rows: int = 8, path: str | None = None) -> DataFrame:
     """doc_id, class_id, class_size, n_links (of the row's text: links that were verified), kept, sha: one row for each row."""
     spark: SparkSession = docs.sparkSession
     path, k = path or workspace(spark), bands * rows
-    every = staged(signatures(docs, k, bands, rows), f"{path}/signatures")
+    work = f"{path}/work"
+    every = staged(signatures(docs, k, bands, rows), f"{work}/signatures")
     named = every.select("rid", "doc_id", "sha", F.coalesce("words", F.encode(F.concat(F.lit("-"), F.col("rid").cast("string")), "utf-8")).alias("words"))
-    vertices = named.groupBy("words").agg(F.min("rid").alias("vertex"), F.count(F.lit(1)).alias("size"))
-    vertices = staged(vertices, f"{path}/vertices")
-    one = sized(vertices.select(F.col("vertex").alias("rid")), 16)
-    keyed = every.select("rid", F.explode("keys").alias("h")).join(one, "rid", "left_semi")
-    buckets = keyed.groupBy("h").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = staged(buckets, f"{path}/buckets")
-    shared = staged(keyed.join(buckets.select("h", "pivot"), "h"), f"{path}/shared")  # of two tables as they are: Spark splits hot keys
-    members = sized(staged(shared.select("rid").distinct(), f"{path}/members"), 16)
-    prints = staged(every.select("rid", "n", "prints").join(members, "rid", "left_semi"), f"{path}/prints")
-
-    met = shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
-    size = prints.select("rid", "n")
-    near = met.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    pairs = staged(near.select("a", "b"), f"{path}/pairs")
-    links = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{path}/links")
-    comp = components(links, f"{path}/components")
-
-    labelled = shared.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    open_buckets = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("h", "n")
-    open_rows = staged(salted_join(labelled, open_buckets, "h", open_buckets, shared.count(), "rid"), f"{path}/open")
+    vertices = staged(named.groupBy("words").agg(F.min("rid").alias("vertex"), F.count(F.lit(1)).alias("size")), f"{work}/vertices")
+    shared, prints = _met(every, work)
+
+    met = staged(shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct(), f"{work}/met")
+    size, many = prints.select("rid", "size"), met.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    near = salted_join(met.join(size.toDF("a", "n_a").hint("merge"), "a"), size.toDF("b", "n_b"), "b", many, met.count(), "a")
+    pairs = staged(near.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), f"{work}/pairs")
+    links = staged(_linked(pairs, prints, similarity).select("a", "b"), f"{work}/links")
+    same = every.where(F.size("keys") > 0).select("rid", "words").join(vertices.hint("merge"), "words").where("rid <> vertex").select(F.col("rid").alias("a"), F.col("vertex").alias("b"))
+    same = staged(same, f"{work}/same")
+    comp = components(links.unionByName(same), f"{work}/components")
+
+    open_rows = _open_rows(shared, prints, comp, work)
+    removed(spark, f"{work}/shared")
     if not open_rows.isEmpty():
-        held = every.select("rid", F.col("n").alias("size"), "keys", "prints").join(sized(staged(open_rows.select("rid").distinct(), f"{path}/open_members"), 16), "rid", "left_semi")
-        links = links.unionByName(staged(_searched(open_rows.join(held, "rid"), bands, similarity), f"{path}/links_open"))
-        comp = components(links, f"{path}/components_open")
-    return _classes(named, vertices, links, comp, path)
+        found = staged(_searched(open_rows.join(prints.drop("size").hint("merge"), "rid"), similarity).distinct(), f"{work}/links_open")
+        links = links.unionByName(found)
+        comp = components(links.unionByName(same), f"{work}/components_open")
+    out = _classes(named, vertices, links, comp, path)
+    removed(spark, work)
+    return out
 
 
 def _classes(named: DataFrame, vertices: DataFrame, links: DataFrame, comp: DataFrame, path: str) -> DataFrame:
-    ends = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count(F.lit(1)).alias("n_links"))
+    """The rows of ``near_duplicates``. They are staged; nothing else is read later."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = ends.join(named.select("rid", "words"), "rid").groupBy("words").agg(F.sum("n_links").alias("n_links"))
     whole = vertices.join(comp.select(F.col("v").alias("vertex"), "comp"), "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
-    whole = whole.join(ends, "vertex", "left").select("words", "comp", "vertex", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    whole = whole.join(ends, "words", "left").select("words", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     total = named.count()
     rows = staged(salted_join(named, whole, "words", vertices.withColumnRenamed("size", "n"), total, "rid").select("rid", "doc_id", "sha", "comp", "n_links"), f"{path}/rows")
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
@@ -349,6 +408,5 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     decided = near_duplicates(docs, similarity, path=path)
     key = key_of(F.lower(F.hex("sha"))).alias("key")
     counted = staged(decided.where("class_size > 1").groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), f"{path}/decided")
+    removed(docs.sparkSession, f"{path}/rows")
     return retained(docs, counted.where("not kept"), counted.where("n > 1 and kept"))
-
-
