@@ -5,7 +5,8 @@ normalise disguises and keep, for every edit, where it came from: look-alike let
 characters, words or brackets for @ and the dot, and numbers spelled digit by digit. The patterns run on the normalised text;
 a find that an edit took part in is mapped back to the source. It is added if it overlaps no base span.
 
-All patterns run in time linear in the text, so very long texts are no trouble. Offsets count code points; ends are
+The transducers work line by line: none reads over a line break, and a find depends on its own line alone. Numbers of parts
+and their lengths have no bounds. All patterns run in time linear in the text, so very long texts are no trouble. Offsets count code points; ends are
 exclusive. Null and empty texts have no spans. Repeated rows give repeated rows; an empty table gives an empty table;
 other columns of the input are ignored by ``spans_of`` and kept by ``redacted``.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,17 +83,15 @@ _DIGITS = (
 _SPELLED = {w: str(i) for names in _DIGITS for i, w in enumerate(names.split())}
 _LETTERS = str.maketrans(_ALIKE | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): str(unicodedata.digit(chr(c))) for first in (0x660, 0x6F0, 0x966) for c in range(first, first + 10)})
 
-_O, _C = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
-_AT = r"(?:at|arroba|@|chez)"
-_DOT = r"(?:dot|punkt|punto|point|\.)"
-_WORDS = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_IN_BRACKETS = re.compile(rf"\s{{0,3}}{_O}(?:(?P<at>{_AT})|(?P<dot>{_DOT})){_C}\s{{0,3}}", re.I)
+_ODD = re.compile(f"[{''.join(map(re.escape, map(chr, _LETTERS)))}{_INVISIBLE}]")
+_BRACKETS = re.compile(r"[\[({<][ \t]*+(?:(?P<at>at|arroba|@|chez)|dot|punkt|punto|point|\.)[ \t]*+[\])}>]", re.I)
 #: Last parts of host names that tell an address in plain words from prose.
-_TOPS = "com|net|org|edu|gov|info|biz|io|dev|app|eu|de|fr|es|uk|us|ch|nl|it"
-_IN_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?: dot [A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?: at | @ )[A-Za-z0-9-]{{1,63}}(?:(?: dot | \. |\.)[A-Za-z0-9-]{{1,63}}){{0,5}}(?: dot | \. |\.)(?:{_TOPS})(?![A-Za-z0-9])", re.I)
-_IN_DIGITS = re.compile(rf"(?<!\w)(?:(?:plus|\+)\s{{0,3}})?(?:{_WORDS}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_WORDS}|[0-9]+|dot|point|punkt|punto)){{3,60}}(?!\w)", re.I)
-_TOKEN = re.compile(rf"\b(?:{_WORDS})\b|\b(?:dot|point|punkt|punto)\b|\bplus\b|[\s,-]+", re.I)
-_SPACED = re.compile(r" dot | at | @ | \. ", re.I)
+_TOPS = frozenset("com net org edu gov info biz io dev app eu de fr es uk us ch nl it pl ru ca jp se dk fi cz pt gr ie hu ro br mx ar cl cn kr tw hk sg au nz za tr il ua co".split())
+#: On lower-case text: what may stand for @, and a host name whose dots may be words or stand alone.
+_ANCHOR = re.compile(r" (?:at|@) |@")
+_CHAIN = re.compile(r"[a-z0-9-]++(?:(?: dot | \. |\.)[a-z0-9-]++)++")
+_JOINT = re.compile(r" dot | \. |\.")
+_LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 #: Words that prose has before "at" and the name of a site.
 _BEFORE_AT = frozenset(
     "a an the and or but is are was were be been it its he she they we i you us me him her them this that these those here there "
@@ -102,9 +101,22 @@ _BEFORE_AT = frozenset(
     "article articles news story version copy archive list email mail write ask call go get stay sign register registered meet "
     "click seen located based learn report reports project sold on off down in away again directly everything something".split()
 )
-#: Any match of _IN_WORDS holds one of " @ ", " dot " and this.
-_AT_HOST = re.compile(rf" at [A-Za-z0-9-]{{1,63}}(?:(?: \. |\.)[A-Za-z0-9-]{{1,63}}){{0,5}}(?: \. |\.)(?:{_TOPS})(?![A-Za-z0-9])", re.I)
-_TRIGGER = re.compile(rf"[{re.escape(''.join(_ALIKE))}{_INVISIBLE}！-～٠-٩۰-۹०-९]|[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT})\s{{0,3}}[\])}}>]| dot | @ |\b(?:{_WORDS})[\s,-]{{1,3}}(?:{_WORDS}|[0-9]+|dot|point|punkt|punto)\b", re.I)
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of these words that looks at each letter once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    some = "|".join(re.escape(first) + _any_of(rest) for first, rest in by.items() if first)
+    return (f"(?:{some})?+" if "" in by else f"(?:{some})") if some else ""
+
+
+_WORDS, _POINT = _any_of(_SPELLED), r"(?:dot|point|punkt|punto)"
+#: On lower-case text: every run of spelled numbers has this in it.
+_TWO_NUMBERS = re.compile(rf"\b{_WORDS}[ \t,-]{{1,3}}(?:{_WORDS}|{_POINT}|[0-9])")
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ \t]*+)?(?:{_WORDS}|[0-9]++)(?!\w)(?:[ \t,-]{{1,3}}(?:{_WORDS}|[0-9]++|{_POINT})(?!\w))+")
+_TOKEN = re.compile(r"\w+|\+|[ \t,-]+")
 
 
 class Edited:
@@ -130,57 +142,116 @@ class Edited:
         return place - last + b
 
 
-def _numbers(run: str) -> str:
-    def one(m: re.Match) -> str:
-        word = m[0].lower()
-        if word in _SPELLED:
-            return _SPELLED[word]
-        return "+" if word == "plus" else "." if word[0] in "dp" else ""
+Edit = tuple[int, int, str]
 
-    return _TOKEN.sub(one, run)
 
+def _lower(text: str) -> str:
+    """Lower case, and as long as the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-def _is_prose(found: str) -> bool:
-    """Such as "look at site.com": a common word, at, and a host name that isn't disguised."""
-    local, at, host = found.lower().partition(" at ")
-    return bool(at) and local in _BEFORE_AT and " " not in host
+
+def _in_brackets(text: str) -> Iterator[Edit]:
+    """(at), [dot] and the like, with the blanks around them."""
+    done = 0
+    for m in _BRACKETS.finditer(text):
+        start, end = m.span()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        done = end
+        yield start, end, "@" if m["at"] else "."
+
+
+def _in_words(text: str) -> Iterator[Edit]:
+    """Addresses such as "jane dot roe at example dot com": at, then a host name, then what stands before."""
+    low, done = _lower(text), 0
+    for m in _ANCHOR.finditer(low):
+        host = _CHAIN.match(low, m.end())
+        if m.start() < done or not host:
+            continue
+        joints = [*_JOINT.finditer(low, host.start(), host.end()), None]
+        last = next((i for i in range(len(joints) - 1, 0, -1) if low[joints[i - 1].end() : joints[i].start() if joints[i] else host.end()] in _TOPS), 0)
+        if not last:
+            continue
+        end = joints[last].start() if joints[last] else host.end()
+        if end < len(text) and text[end] in _LABEL and text[end] != "-":
+            continue
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start == m.start() or not text[m.start() - 1].isalnum():
+            continue
+        points: list[Edit] = []
+        while low.endswith(" dot ", done, start) and start - 5 > done and text[start - 6] in _LABEL:
+            points.append((start - 5, start, "."))
+            start -= 5
+            while start > done and text[start - 1] in _LABEL:
+                start -= 1
+        plain, tail = " " not in low[m.end() : end], text[joints[last - 1].end() : end]
+        if plain and (m[0] == "@" or m[0] == " at " and (low[start : m.start()] in _BEFORE_AT or not (tail.islower() or tail.isupper()))):
+            continue
+        done = end
+        yield from reversed(points)
+        if m[0] != "@":
+            yield m.start(), m.end(), "@"
+        yield from ((j.start(), j.end(), ".") for j in joints[:last] if j[0] != ".")
+
+
+def _in_digits(text: str) -> Iterator[Edit]:
+    """Numbers spelled digit by digit, three words or more. Where only some gaps have commas, those end a number."""
+    low, done = _lower(text), 0
+    for found in _TWO_NUMBERS.finditer(low):
+        if found.start() < done:
+            continue
+        first, done = low.rfind("\n", 0, found.start()) + 1, low.find("\n", found.start())
+        done = done if done >= 0 else len(low)
+        for run in _RUN.finditer(low, first, done):
+            parts = [*_TOKEN.finditer(low, *run.span())]
+            gaps = ["," in p[0] for p in parts if p[0][0] in " \t,-"]
+            ends = [i for i, p in enumerate(parts) if "," in p[0]] if any(gaps) and not all(gaps) else []
+            for a, b in zip([0, *(i + 1 for i in ends)], [*ends, len(parts)], strict=True):
+                if sum(p[0] in _SPELLED for p in parts[a:b]) >= 3:
+                    yield parts[a].start(), parts[b - 1].end(), "".join(map(_digits, (p[0] for p in parts[a:b])))
+
+
+def _digits(token: str) -> str:
+    if token in _SPELLED:
+        return _SPELLED[token]
+    return token if token.isdigit() else "+" if token in ("plus", "+") else "." if token[0] in "dp" else ""
 
 
 def _edits(text: str) -> list[Edited]:
-    """The transducers' texts, one after the other."""
-    made = [Edited(text, [(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", text)])]
-    now = made[-1].text
-    edits = [(m.start(), m.end(), "@" if m["at"] else ".") for m in _IN_BRACKETS.finditer(now)]
-    made.append(Edited(now, edits))
-    now = made[-1].text
-    edits = []
-    for m in _IN_WORDS.finditer(now):
-        if _is_prose(m[0]):
-            continue
-        edits += [(m.start() + x.start(), m.start() + x.end(), "@" if x[0].strip().lower() in ("at", "@") else ".") for x in _SPACED.finditer(m[0])]
-    made.append(Edited(now, edits))
-    now = made[-1].text
-    edits = [(m.start(), m.end(), _numbers(m[0])) for m in _IN_DIGITS.finditer(now) if len(re.findall(rf"\b(?:{_WORDS})\b", m[0], re.I)) >= 3]
-    made.append(Edited(now, edits))
+    """The texts of the transducers that edit anything, one after the other."""
+    made = []
+    for edits in (_hidden, _in_brackets, _in_words, _in_digits):
+        if found := list(edits(text)):
+            made.append(Edited(text, found))
+            text = made[-1].text
     return made
 
 
+def _hidden(text: str) -> Iterator[Edit]:
+    return iter(()) if text.isascii() else ((m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", text))
+
+
 def find_spans(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base) in the order of ``base_spans``."""
     base = base_spans(text)
     out = [(*x, True) for x in base]
-    if _TRIGGER.search(text) or _AT_HOST.search(text):
-        alike = text.translate(_LETTERS)  # as long as the text
-        made = _edits(alike)
-        if alike != text or any(x.edits for x in made):
-            taken = sorted((a, b) for a, b, _ in base)
-            for a, b, kind in base_spans(made[-1].text):
-                start, end = a, b
-                for step in reversed(made):
-                    start, end = step.before(start, False), step.before(end, True)
-                i = bisect_right(taken, (end, -1)) - 1
-                if text[start:end] != made[-1].text[a:b] and not (i >= 0 and max(y for _, y in taken[max(0, i - len(KINDS)) : i + 1]) > start):
-                    out.append((start, end, kind, False))
+    alike = text if text.isascii() or not _ODD.search(text) else text.translate(_LETTERS)  # as long as the text
+    made = _edits(alike)
+    if made or alike != text:
+        last = made[-1].text if made else alike
+        taken = sorted((a, b) for a, b, _ in base)
+        for a, b, kind in base_spans(last):
+            start, end = a, b
+            for step in reversed(made):
+                start, end = step.before(start, False), step.before(end, True)
+            i = bisect_right(taken, (end, -1)) - 1
+            if text[start:end] != last[a:b] and not (i >= 0 and max(y for _, y in taken[max(0, i - len(KINDS)) : i + 1]) > start):
+                out.append((start, end, kind, False))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

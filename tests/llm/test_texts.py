@@ -141,6 +141,12 @@ def test_long_digit_runs_are_fast():
         ("１９２.１６８.１.１", "１９２.１６８.１.１", "ip"),
         ("cb: four one one one one one one one one one one one one one one one!", "four one one one one one one one one one one one one one one one", "card"),
         ("mail a(at)b(dot)co", "a(at)b(dot)co", "email"),
+        ("to john [at] example dot com now", "john [at] example dot com", "email"),
+        ("to john@example dot com now", "john@example dot com", "email"),
+        ("to jane at example.pl now", "jane at example.pl", "email"),
+        ("x " + "a" * 81 + " at example dot com y", "a" * 81 + " at example dot com", "email"),
+        ("a dot b dot c dot d dot e dot f at g dot h dot i dot j dot k dot l dot org", "a dot b dot c dot d dot e dot f at g dot h dot i dot j dot k dot l dot org", "email"),
+        ("four, one, one, one, one, one, one, one, one, one, one, one, one, one, one, one", "four, one, one, one, one, one, one, one, one, one, one, one, one, one, one, one", "card"),
     ],
 )
 def test_disguises(text, span, kind):
@@ -148,7 +154,7 @@ def test_disguises(text, span, kind):
     assert [(text[a:b], k, base) for a, b, k, base in found] == [(span, kind, False)]
 
 
-@pytest.mark.parametrize("text", ["look at the dot matrix of it", "one two three four five", "we met at noon. dot com", "Привет мир", "at 5 dot 3"])
+@pytest.mark.parametrize("text", ["look at the dot matrix of it", "one two three four five", "we met at noon. dot com", "Привет мир", "at 5 dot 3", "She stayed at home.It was", "john\n[at] example [dot] com", "end. at cafe.de"])
 def test_clean_texts_stay(text):
     assert pii.find_spans(text) == [] and pii.replaced(text, []) == text
 
@@ -161,6 +167,48 @@ def test_disguises_do_not_hang_on_far_text(text):
     assert [text[a:b].lower()[:7] for a, b, *_ in found] == (["jane at"] if "jane" in text.lower() else [])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["jane", " at ", "example", ".com", " dot ", "one ", "two, ", "plus ", "4", "(at)", "[dot]", "@", "\u0430", "\u200b", " ", ".", "+", "-", "look", "1.2.3.4", "x@y.de"]), max_size=30).map("".join), st.text(st.sampled_from("ab @.\n14+-[(at)] one dot"), max_size=60))
+def test_other_lines_change_nothing(text, other):
+    """Spans of a line depend on it alone."""
+    found = pii.find_spans(text)
+    after = pii.find_spans(f"{text}\n{other}")
+    assert [s for s in after if s[0] < len(text)] == found
+    before = pii.find_spans(f"{other}\n{text}")
+    assert [(a - len(other) - 1, b - len(other) - 1, k, x) for a, b, k, x in before if a > len(other)] == found
+
+
+DIGITS = "zero one two three four five six seven eight nine".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text(st.sampled_from("jonas.w-x"), min_size=1, max_size=8).filter(lambda x: x[-1].isalnum() and x[0].isalnum() and ".." not in x and x not in pii._BEFORE_AT), st.sampled_from(["mail", "ex-ample.co", "a1"]), st.sampled_from([" at ", " @ ", "(at)", " [AT] ", "@"]), st.sampled_from([" dot ", " . ", "(dot)", "{ . }"])), max_size=6))
+def test_disguised_addresses_against_what_made_them(parts):
+    """Addresses disguised part by part, between words of prose, one a line: each is found, whole, and nothing else."""
+    text, want = "", []
+    for local, host, at, dot in parts:
+        text += "so we said "
+        own = f"{local.replace('.', dot)}{at}{host.replace('.', dot)}{dot}org"
+        if dot == " . " and "." in local:  # a dot that stands alone isn't joined in names
+            own = f"{local}{at}{host.replace('.', dot)}{dot}org"
+        want.append((len(text), len(text) + len(own), "email", False))
+        text += f"{own}, then\n"
+    assert pii.find_spans(text) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(10**13, 10**15), st.sampled_from([" ", "-", ", "])), min_size=1, max_size=4))
+def test_spelled_cards_against_what_made_them(cards):
+    text, want = "", []
+    for number, gap in cards:
+        digits = str(number) + next(d for d in "0123456789" if pii.luhn(str(number) + d))
+        text += "the card "
+        own = gap.join(DIGITS[int(d)] for d in digits)
+        want.append((len(text), len(text) + len(own), "card", False))
+        text += own + ".\n"
+    assert pii.find_spans(text) == want
+
+
 def joined(spans):
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
