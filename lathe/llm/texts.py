@@ -62,21 +62,22 @@ class LibraryEncoder:
 
     The library splits a text and applies its model to each match by itself. So each distinct match goes to the model once
     and is kept: those of late, up to twice ``keep``.
-    Texts that might be split otherwise go to the library whole, and so does every text if its file asks for more than
-    byte-level splitting.
+    Stretches that might be split otherwise go to the library, and so does the whole text if it holds an added token (such as
+    ``<|endoftext|>``, which the library takes for its own id), or if its file asks for more than byte-level splitting.
     """
 
     _made: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         steps = json.loads(self.library.to_str())
         split = steps["pre_tokenizer"] or {}
-        self.plain = steps["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        whole = steps["normalizer"] is None and steps["truncation"] is None and steps["padding"] is None
+        self.plain = whole and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.added = tuple(token["content"] for token in steps["added_tokens"])
         self.keep, self.matches = keep, _Matches(self.library.model, {})
 
     @classmethod
@@ -87,10 +88,12 @@ class LibraryEncoder:
         return cls._made[path]
 
     def encode(self, text: str) -> bytes:
+        if not self.plain or any(token in text for token in self.added):
+            return self._by_library(text)
         out = []
         for part in split_safely(text):
-            if not self.plain or _OTHER.search(part):
-                out.append(np.asarray(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
+            if _OTHER.search(part):
+                out.append(self._by_library(part))
                 continue
             if len(self.matches) > self.keep:
                 self.matches.before = {}
@@ -98,3 +101,6 @@ class LibraryEncoder:
             found = _PLAIN.findall(part)
             out += itemgetter(*found)(self.matches) if len(found) > 1 else map(self.matches.__getitem__, found)
         return b"".join(out)
+
+    def _by_library(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
