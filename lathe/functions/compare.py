@@ -1,6 +1,7 @@
 """Predicates as columns, by the types of both sides.
 
-* A string never equals a number and has no order with one: EQ and the orderings are false, NE is true.
+* A string never equals a number and has no order with one: EQ and the orderings are false, NE is true; with a null on
+  either side all are null, as in SQL.
 * A literal compared with a date or timestamp column is an ISO string; it is cast, not the column.
 * ``semantics="spark"``: all else as Spark SQL does it (integers against 32-bit floats as doubles; NaN equals itself and is
   the largest value).
@@ -41,7 +42,7 @@ def compared(left: Column, left_type: T.DataType, operator: str, right: Column,
     if any(strings) and any(times):
         left, right = (left, right.cast(left_type)) if times[0] else (left.cast(right_type), right)
     elif strings[0] != strings[1]:
-        return F.lit(operator == "NE")
+        return F.when(left.isNotNull() & right.isNotNull(), F.lit(operator == "NE"))
     if semantics == "reference":
         kinds = (left_type, right_type)
         if any(isinstance(t, T.FloatType) for t in kinds):

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
+from lathe.plans.builder import QueryBuilder
 from lathe.plans.catalog import Catalog
 from lathe.plans.compiler import compile_query
-from lathe.plans.ir import Query, from_json
+from lathe.plans.ir import Query, from_json, to_json
 from lathe.streaming.rows import lines
 
 
@@ -26,6 +27,30 @@ class QueryCase:
         return cls(obj["execution_name"], from_json(json.dumps(obj["query"])), obj["expected_output_file"], obj.get("disabled", False), obj.get("sort_before_check", False))
 
 
+    def as_json(self) -> dict:
+        """What ``of`` reads."""
+        return {"execution_name": self.name, "disabled": self.disabled, "sort_before_check": self.sort_before_check, "query": json.loads(to_json(self.query)), "expected_output_file": self.expected_output_file}
+
+
+def save_cases(cases: Iterable[QueryCase], path: str) -> None:
+    Path(path).write_text(json.dumps([c.as_json() for c in cases], indent=1))
+
+
+def load_cases(path: str) -> list[QueryCase]:
+    return [QueryCase.of(x) for x in json.loads(Path(path).read_text())]
+
+
+def scan_cases(catalog: Catalog, folder: str) -> list[QueryCase]:
+    """One case for each table, its bare scan, with its result written to ``folder`` as the expected one."""
+    out = []
+    for name in catalog.tables:
+        case = QueryCase(f"scan_{name}", QueryBuilder.scan(name).build(), f"{folder}/{name}.expected", sort_before_check=True)
+        with open(case.expected_output_file, "w") as expected:
+            expected.writelines(f"{line}\n" for line in lines(compile_query(case.query, catalog)))
+        out.append(case)
+    return out
+
+
 @dataclass
 class Outcome:
     name: str

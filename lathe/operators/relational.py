@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from lathe.functions.compare import LITERAL_TYPES, compared, literal
 from lathe.plans.ir import Predicate, SortKey
+from lathe.sources.shared import shared_folder, written
 
 #: Spark's hints for the join algorithms: sorted merge, hash over shuffled sides, hash over a broadcast side, nested loops.
 JOIN_HINTS = ("merge", "shuffle_hash", "broadcast", "shuffle_replicate_nl")
+#: A side is broadcast on demand only if Spark estimates it at no more bytes than this.
+BROADCAST_LIMIT = 64 << 20
+_LOW33 = (1 << 33) - 1
 
 
 class PlanError(ValueError):
@@ -47,17 +51,44 @@ def projected(df: DataFrame, columns: Iterable[tuple[str, str]]) -> DataFrame:
     return df.select(*(named(df, old).alias(new) for old, new in pairs))
 
 
-def crossed(left: DataFrame, right: DataFrame, hint: str | None = None) -> DataFrame:
-    """All pairs of rows, left columns first. Filters above make it a join; ``hint`` then asks for an algorithm."""
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size, from files and the plan; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def crossed(left: DataFrame, right: DataFrame, hint: str | None = None, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """All pairs of rows, left columns first. Filters above make it a join; ``hint`` then asks for an algorithm.
+
+    A right side that is too large for ``broadcast`` is joined by hash over shuffled sides.
+    """
     both = set(left.columns) & set(right.columns)
     if both:
         raise PlanError(f"both sides have columns {sorted(both)}; rename them by a projection")
     if hint is not None and hint not in JOIN_HINTS:
         raise PlanError(f"unknown join hint {hint!r}")
-    return left.crossJoin(right.hint(hint) if hint else right)
+    if hint == "broadcast" and estimated_bytes(right) > broadcast_limit:
+        hint = "shuffle_hash"
+    return left.join(right.hint(hint) if hint else right)  # inner, not cross: Spark's runtime filters know inner joins alone
 
 
 def sorted_by(df: DataFrame, keys: Iterable[SortKey]) -> DataFrame:
     """All rows in the order of the keys."""
     keys = list(keys)
     return df.orderBy(*(named(df, k.column).asc() if k.ascending else named(df, k.column).desc() for k in keys)) if keys else df
+
+
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in a sorted table.
+
+    The sorted rows are written with their partition and their place in it; the partitions' counts, one row each, are
+    summed up ahead of them. So no task sees all rows, as it would in a window over the whole table.
+    """
+    rows = written(df.withColumn("__id", F.monotonically_increasing_id()), shared_folder(df.sparkSession))
+    part = F.shiftright("__id", 33)
+    counts, before, entries = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect(), 0, []
+    for number, n in counts:
+        entries.append((number, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(entries, "__part long, __before long")
+    out = rows.join(F.broadcast(starts), part == F.col("__part"))
+    return out.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit(_LOW33)) + 1).drop("__id", "__part", "__before")

@@ -1,37 +1,66 @@
-"""Statistics of a table's columns: range, distinct values, density, physical order, histogram."""
+"""Statistics of a table's columns: range, distinct values, density, physical order, histogram.
+
+Ranges, orders and histograms are of columns whose values have an order that a catalog can hold: numbers, strings, dates,
+times. ``analyze`` leaves them out for others (arrays, maps, structures, binary); maps have no distinct counts either.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lathe.plans.catalog import ColumnSpec, TableSpec, type_name
 
 EXACT_LIMIT = 10_000
 BUCKETS = 10
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+_ORDERED = (T.NumericType, T.StringType, *_TIMES)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _one_row(df: DataFrame, columns: list[str], one) -> DataFrame:
+    """All aggregates of all columns in one row and one pass; ``one`` maps a column to named aggregates."""
+    return df.agg(*(a.alias(f"{i}_{k}") for i, c in enumerate(columns) for k, a in one(quoted(c)).items()))
 
 
 def _rows(df: DataFrame, columns: list[str], one) -> DataFrame:
-    """A row for each column from one pass over the table: ``one`` maps a column to named aggregates."""
-    found = df.agg(*(a.alias(f"{i}_{k}") for i, c in enumerate(columns) for k, a in one(F.col(f"`{c}`")).items()))
+    """A row for each column, where the aggregates have one type in all of them."""
     keys = list(one(F.lit(None)))
     entries = [F.struct(F.lit(c).alias("column_name"), *(F.col(f"{i}_{k}").alias(k) for k in keys)) for i, c in enumerate(columns)]
-    return found.select(F.inline(F.array(*entries)))
+    return _one_row(df, columns, one).select(F.inline(F.array(*entries)))
+
+
+def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """(least, greatest) value of each column in the column's own type; nulls if it has no values."""
+    if not columns:
+        return {}
+    found = _one_row(df, columns, lambda c: {"least": F.min(c), "most": F.max(c)}).first()
+    return {c: (found[f"{i}_least"], found[f"{i}_most"]) for i, c in enumerate(columns)}
 
 
 def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, lower_bound, upper_bound (as doubles) of numeric columns."""
-    return _rows(df, columns, lambda c: {"lower_bound": F.min(c).cast("double"), "upper_bound": F.max(c).cast("double")})
+    """column_name, lower_bound, upper_bound as text: whole numbers and times lose nothing, fractions have all their digits."""
+    return _rows(df, columns, lambda c: {"lower_bound": F.min(c).cast("string"), "upper_bound": F.max(c).cast("string")})
 
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, cardinality: exact counts of distinct values."""
-    return _rows(df, columns, lambda c: {"cardinality": F.count_distinct(c)})
+    """column_name, cardinality: exact counts of distinct values, one pass for each column.
+
+    One aggregate over all columns would copy each row for every column before the shuffle.
+    """
+    each = [df.agg(F.lit(c).alias("column_name"), F.count_distinct(quoted(c)).alias("cardinality")) for c in columns]
+    return reduce(DataFrame.unionByName, each)
 
 
 def approx_distinct(df: DataFrame, columns: list[str], error: float = 0.0173) -> DataFrame:
@@ -44,87 +73,112 @@ def density(df: DataFrame, columns: list[str]) -> DataFrame:
     return _rows(df, columns, lambda c: {"density": F.least(F.lit(1.0), F.try_divide(F.count_distinct(c).cast("double"), F.count(F.lit(1))))})
 
 
+def _ordered_within(values: pa.Array) -> bool:
+    """No value is less than the one before it; nulls are passed over."""
+    values = values.drop_null()
+    return len(values) < 2 or not pc.any(pc.less(values[1:], values[:-1])).as_py()
+
+
 def physical_order(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, physically_ordered: no value is less than the one before it in its file, files by path.
+    """column_name, physically_ordered: no value is less than the one before it in its file, files by path; nulls are passed over.
 
-    For a table read from Parquet files. Each task gives one row for each stretch of a file that it read; the driver gets
-    those alone and compares their ends.
+    For a table read from Parquet files. Arrow compares each batch with itself shifted by a row. Batches become stretches
+    with their ends; these are summed up by file in Spark, and files by the driver's one row for each column.
     """
-    spark, n = df.sparkSession, len(columns)
-    fields = pa.schema([("path", pa.string()), ("first", pa.int64()), ("column", pa.int32()), ("ordered", pa.bool_()), ("head", pa.string()), ("tail", pa.string())])
-    kinds = [df.schema[c].dataType for c in columns]
-    as_text = [isinstance(k, T.StringType) for k in kinds]
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(columns)])
+    plain = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"), *(quoted(c).alias(f.name) for c, f in zip(columns, schema, strict=True)))
+    found = [f"{kind}{i}" for i in range(len(columns)) for kind in ("ok", "head", "tail")]
+    kinds = [t for f in schema for t in (T.BooleanType(), f.dataType, f.dataType)]
+    made = T.StructType([T.StructField("path", T.StringType()), T.StructField("first", T.LongType()), *map(T.StructField, found, kinds)])
+    fields = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict = {}
         for batch in batches:
-            path = batch.column(0).to_pylist()
-            at = batch.column(1).to_pylist()
-            for i in range(n):
-                for p, row, x in zip(path, at, batch.column(2 + i).to_pylist(), strict=True):
-                    s = open_.get((p, i))
-                    if s is None:
-                        open_[p, i] = [row, True, x, x]
-                    else:
-                        s[1] &= not (x is not None and s[3] is not None and x < s[3])
-                        s[3] = x
-        made = [(p, s[0], i, s[1], None if s[2] is None else str(s[2]), None if s[3] is None else str(s[3])) for (p, i), s in open_.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True) if made else ((),) * 6, fields, strict=True)], schema=fields)
-
-    plain = df.select("_metadata.file_path", "_metadata.row_index", *(F.col(f"`{c}`") if t else F.col(f"`{c}`").cast("double") for c, t in zip(columns, as_text, strict=True)))
-    found = sorted(map(tuple, plain.mapInArrow(run, "path string, first long, column int, ordered boolean, head string, tail string").collect()))
-    out = []
-    for i, c in enumerate(columns):
-        own = [r for r in found if r[2] == i]
-        key = str if as_text[i] else float
-        ends = [(key(a[5]), key(b[4])) for a, b in zip(own, own[1:], strict=False) if a[5] is not None and b[4] is not None]
-        out.append((c, all(r[3] for r in own) and all(b >= a for a, b in ends)))
-    return spark.createDataFrame(out, "column_name string, physically_ordered boolean")
+            path, row = batch.column(0), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(row) != 1) | np.asarray(pc.not_equal(path[1:], path[:-1])).astype(bool)) + 1 if len(row) > 1 else []
+            for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True):
+                if b > a:
+                    out: list = [path[a], int(row[a])]
+                    for i in range(2, batch.num_columns):
+                        values = batch.column(i)[a:b].drop_null()
+                        out += [_ordered_within(values), values[0] if len(values) else None, values[-1] if len(values) else None]
+                    arrays = [pa.array([x.as_py() if isinstance(x, pa.Scalar) else x], f.type) for x, f in zip(out, fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+
+    def step(i: int, row: str):
+        """Of one stretch or file, as what the fold below takes up."""
+        return F.struct(F.col(row).alias("at"), F.col(f"ok{i}").alias("ok"), F.col(f"head{i}").alias("head"), F.col(f"tail{i}").alias("tail"))
+
+    def folded(i: int):
+        """Stretches in order: all are in order, and none begins below the last value before it."""
+        kind = schema[i].dataType.simpleString()
+        start = F.struct(F.lit(True).alias("ok"), F.lit(None).cast(kind).alias("head"), F.lit(None).cast(kind).alias("tail"))
+        follow = lambda a, x: F.struct(
+            (a["ok"] & x["ok"] & ~F.coalesce(x["head"] < a["tail"], F.lit(False))).alias("ok"),
+            F.coalesce(a["head"], x["head"]).alias("head"), F.coalesce(x["tail"], a["tail"]).alias("tail"),
+        )
+        return F.aggregate(F.array_sort(F.collect_list(step(i, at))), start, follow)
+
+    at = "first"
+    files = plain.mapInArrow(run, made).groupBy("path").agg(*(folded(i).alias(f"f{i}") for i in range(len(columns))))
+    files = files.select("path", *(F.col(f"f{i}.{part}").alias(f"{name}{i}") for i in range(len(columns)) for part, name in (("ok", "ok"), ("head", "head"), ("tail", "tail"))))
+    at = "path"
+    whole = files.agg(*(folded(i)["ok"].alias(f"f{i}") for i in range(len(columns))))
+    return whole.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"f{i}").alias("physically_ordered")) for i, c in enumerate(columns)))))
 
 
 def sample(df: DataFrame, rows: int = 10_000, seed: int = 0) -> DataFrame:
-    """About so many random rows, or all of a smaller table."""
-    n = df.count()
-    return df if n <= rows else df.sample(fraction=rows / n, seed=seed)
+    """Exactly so many random rows, or all of a smaller table: those with the least hashed random numbers (a top-k, no sort)."""
+    return df.withColumn("__order", F.rand(seed)).orderBy("__order").limit(rows).drop("__order")
 
 
-def histogram(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, lower_bound, upper_bound, frequency: at most so many buckets of like numbers of rows, by approximate bounds.
+def histogram(df: DataFrame, column: str, buckets: int = BUCKETS, accuracy: int = 100_000) -> DataFrame:
+    """bucket, lower_bound, upper_bound, frequency: at most so many buckets of like numbers of rows.
 
-    Equal values share a bucket. Rows are counted by bucket where they lie; only sums are shuffled. Strings are for columns
-    of few distinct values (``analyze`` asks for at most 50): their counts by value are brought into order in one task.
+    Bounds are percentiles, found by a sketch with a relative error of rank of 1 / ``accuracy``: exact below that many rows.
+    Equal values share a bucket. Rows are counted by bucket where they lie; only sums are shuffled. Strings go by the
+    number that their first seven bytes make, which keeps their order; those with equal beginnings share a bucket.
     """
-    c = F.col(f"`{column}`")
-    if isinstance(df.schema[column].dataType, T.StringType):
-        values = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(Window.orderBy("v")) - F.col("n")
-        placed = values.select("v", "n", F.floor(before * buckets / F.sum("n").over(Window.partitionBy())).cast("int").alias("bucket"))
-        return placed.groupBy("bucket").agg(F.min("v").alias("lower_bound"), F.max("v").alias("upper_bound"), F.sum("n").alias("frequency"))
-    marks = df.agg(F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    bucket = reduce(lambda a, m: a + (c > F.lit(m)).cast("int"), sorted(set(marks)), F.lit(0))
+    c = quoted(column)
+    kind = df.schema[column].dataType
+    place = c
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0")
+        place = F.conv(head, 16, 10).cast("long")
+    elif isinstance(kind, _TIMES):
+        place = F.unix_micros(c.cast("timestamp_ltz"))
+    marks = df.agg(F.percentile_approx(place, [i / buckets for i in range(1, buckets)], accuracy)).first()[0] or []
+    bucket = reduce(lambda a, m: a + (place > F.lit(m)).cast("int"), sorted(set(marks)), F.lit(0))
     rows = df.where(c.isNotNull()).groupBy(bucket.alias("bucket"))
     return rows.agg(F.min(c).alias("lower_bound"), F.max(c).alias("upper_bound"), F.count(F.lit(1)).alias("frequency"))
 
 
+def plain_value(x):
+    """A value as JSON has it: times in ISO form."""
+    return x if x is None or isinstance(x, (bool, int, float, str)) else x.isoformat() if hasattr(x, "isoformat") else float(x)
+
+
 def analyze(df: DataFrame, name: str) -> TableSpec:
     """A table's specification with all statistics, for a catalog file."""
-    columns = [f.name for f in df.schema]
-    numeric = [f.name for f in df.schema if not isinstance(f.dataType, T.StringType)]
-    bounds = {r[0]: (r[1], r[2]) for r in ranges(df, numeric).collect()} if numeric else {}
-    many = {r[0]: r[1] for r in approx_distinct(df, columns).collect()}
+    columns = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    orderly = [f.name for f in df.schema if isinstance(f.dataType, _ORDERED)]
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, _ORDERED) and not isinstance(f.dataType, T.StringType)]
+    least_most = bounds(df, numeric)
+    many = {r[0]: r[1] for r in approx_distinct(df, columns).collect()} if columns else {}
     exact = {r[0]: r[1] for r in cardinality(df, small).collect()} if (small := [c for c in columns if many[c] <= EXACT_LIMIT]) else {}
-    ordered = {r[0]: r[1] for r in physical_order(df, columns).collect()}
+    ordered = {r[0]: r[1] for r in physical_order(df, orderly).collect()} if orderly else {}
     total, out = df.count(), []
     for f in df.schema:
         kind = type_name(f.dataType)
-        whole = int if kind.startswith("Int") else float
-        stats: list = ["IsPhysicallyOrdered"] if ordered[f.name] and total else []
-        if f.name in bounds and bounds[f.name][0] is not None:
-            stats.append({"RangeStat": {"lower_bound": {kind: whole(bounds[f.name][0])}, "upper_bound": {kind: whole(bounds[f.name][1])}}})
-        n = exact.get(f.name, many[f.name])
-        stats += [{"CardinalityStat": n}, {"DensityStat": min(1.0, n / total) if total else 0.0}]
-        if f.name in bounds or n <= 50:
-            rows = histogram(df, f.name).orderBy("lower_bound").collect()
-            stats.append({"HistogramStat": {"frequency_points": [[{"lower_bound": {kind: r[1]}, "upper_bound": {kind: r[2]}}, r[3]] for r in rows]}})
+        stats: list = ["IsPhysicallyOrdered"] if ordered.get(f.name) and total else []
+        low, high = least_most.get(f.name, (None, None))
+        if low is not None:
+            stats.append({"RangeStat": {"lower_bound": {kind: plain_value(low)}, "upper_bound": {kind: plain_value(high)}}})
+        if f.name in many:
+            n = exact.get(f.name, many[f.name])
+            stats += [{"CardinalityStat": n}, {"DensityStat": min(1.0, n / total) if total else 0.0}]
+            if f.name in numeric or f.name in orderly and n <= 50:
+                rows = histogram(df, f.name).orderBy("lower_bound").collect()
+                stats.append({"HistogramStat": {"frequency_points": [[{"lower_bound": {kind: plain_value(r[1])}, "upper_bound": {kind: plain_value(r[2])}}, r[3]] for r in rows]}})
         out.append(ColumnSpec(f.name, kind, stats))
     return TableSpec(name, name, out)

@@ -79,6 +79,13 @@ class Catalog:
         """Of the first table that has the column."""
         return next((c.facts() for s in self.specs.values() for c in s.columns if c.name == column), None)
 
+    def range_of(self, table: str, column: str) -> tuple | None:
+        """The least and greatest value of a table's column, if the catalog has them."""
+        spec = self.specs.get(table)
+        facts = next((c.facts() for c in spec.columns if c.name == column), {}) if spec else {}
+        found = facts.get("range")
+        return None if found is None else tuple(next(iter(found[k].values())) for k in ("lower_bound", "upper_bound"))
+
     def views(self) -> None:
         """Registers all tables as temporary views, for SQL beside the tree."""
         for name in list(self.tables):

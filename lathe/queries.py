@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions.text import row_text
 from lathe.operators import statistics
+from lathe.operators.relational import placed
 from lathe.plans.builder import MultiPredicateBuilder, MultiProjectBuilder, MultiSortBuilder, QueryBuilder, column, f32, f64, i32, i64, string
 from lathe.plans.catalog import Catalog, ColumnSpec, TableSpec, type_name
-from lathe.plans.compiler import compile_query
+from lathe.plans.compiler import compile_query, with_runtime_filters
 from lathe.plans.ir import from_json, to_json
 from lathe.sources.pipe import read_pipe, write_pipe
+from lathe.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,12 +46,19 @@ def by(q: QueryBuilder, *keys: tuple[str, bool]) -> QueryBuilder:
     return q.sort_multiple(out)
 
 
-def tree(name: str, q: QueryBuilder, sql: str, hint: str | None = None, semantics: str = "spark") -> None:
-    """Registers a tree. It goes through its JSON form, as a query from outside would."""
+def tree(name: str, q: QueryBuilder, sql: str, hint: str | None = None, semantics: str = "spark", analyzed: str | None = None, runtime_filters: bool = False) -> None:
+    """Registers a tree. It goes through its JSON form, as a query from outside would.
+
+    ``analyzed`` names a table whose statistics are found first and given to the compiler.
+    """
     text = to_json(q.build())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compile_query(from_json(text), Catalog.of_parquet(spark, sf_dir), semantics, hint)
+        catalog = Catalog.of_parquet(spark, sf_dir)
+        if analyzed:
+            catalog.specs[analyzed] = statistics.analyze(catalog.table(analyzed), analyzed)
+        out = compile_query(from_json(text), catalog, semantics, hint)
+        return with_runtime_filters(out) if runtime_filters else out
 
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
@@ -61,8 +68,7 @@ def ordered(name: str, q: QueryBuilder, sql: str) -> None:
     text = to_json(q.build())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = compile_query(from_json(text), Catalog.of_parquet(spark, sf_dir)).withColumn("place_id", F.monotonically_increasing_id())
-        return rows.withColumn("place", F.row_number().over(Window.orderBy("place_id")).cast("long")).drop("place_id")
+        return placed(compile_query(from_json(text), Catalog.of_parquet(spark, sf_dir)))
 
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
@@ -102,6 +108,7 @@ tree("project_duplicate", scan("part").project_multiple(MultiProjectBuilder("p_p
 _SNR = scan("supplier").cross(scan("nation")).cross(scan("region"))
 tree("cross_join", scan("nation").cross(scan("region")), "SELECT * FROM nation CROSS JOIN region")
 tree("cross_join_large", cols(_SNR, "s_suppkey", "n_name", "r_name"), "SELECT s_suppkey, n_name, r_name FROM supplier, nation, region")
+tree("cross_join_partitioned", cols(_SNR, "s_suppkey", "n_name", "r_name"), "SELECT s_suppkey, n_name, r_name FROM supplier, nation, region", "shuffle_replicate_nl")
 tree("join_disconnected", cols(scan("orders").cross(scan("region")).cross(scan("customer")).filter("o_custkey", "EQ", column("c_custkey")), "o_orderkey", "c_name", "r_name"), "SELECT o_orderkey, c_name, r_name FROM orders, region, customer WHERE o_custkey = c_custkey")
 tree("join_theta", cols(scan("nation").cross(scan("region")).filter("n_regionkey", "LT", column("r_regionkey")), "n_name", "r_name"), "SELECT n_name, r_name FROM nation, region WHERE n_regionkey < r_regionkey")
 _LO = scan("lineitem").cross(scan("orders")).filter("l_orderkey", "EQ", column("o_orderkey"))
@@ -112,7 +119,14 @@ for _name, _hint in {"join_inner_equi": None, "join_hash": "broadcast", "join_ha
         tree(_name, cols(_q, "l_orderkey", "l_linenumber", "s_name"), "SELECT l_orderkey, l_linenumber, s_name FROM lineitem, supplier WHERE l_suppkey = s_suppkey", "broadcast")
     else:
         tree(_name, cols(_q, "l_orderkey", "l_linenumber", "l_quantity", "o_totalprice"), _LO_SQL, _hint)
-tree("join_dynamic_filter", cols(_LO.filter("o_orderpriority", "EQ", string("1-URGENT")), "l_orderkey", "l_linenumber", "o_totalprice"), "SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem, orders WHERE l_orderkey = o_orderkey AND o_orderpriority = '1-URGENT'")
+tree("join_dynamic_filter", cols(_LO.filter("o_orderpriority", "EQ", string("1-URGENT")), "l_orderkey", "l_linenumber", "o_totalprice"), "SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem, orders WHERE l_orderkey = o_orderkey AND o_orderpriority = '1-URGENT'", runtime_filters=True)
+_O1, _O2 = (cols(scan("orders"), o_orderkey=f"{a}.o_orderkey", o_totalprice=f"{a}.o_totalprice") for a in "ab")
+tree(
+    "join_auto",
+    cols(_O1.cross(_O2).filter("a.o_orderkey", "EQ", column("b.o_orderkey")), **{"a.o_orderkey": "k", "b.o_totalprice": "price"}),
+    "SELECT a.o_orderkey AS k, b.o_totalprice AS price FROM orders a, orders b WHERE a.o_orderkey = b.o_orderkey", "auto", analyzed="orders",
+)
+tree("scan_range_prune_stats", cols(scan("orders").filter("o_orderkey", "LT", i64(-5)), "o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey < -5", analyzed="orders")
 tree(
     "join_multiway_3",
     cols(where(scan("customer").cross(scan("orders")).cross(scan("lineitem")), ("c_custkey", "EQ", column("o_custkey")), ("o_orderkey", "EQ", column("l_orderkey")), ("c_mktsegment", "EQ", string("BUILDING"))), "c_name", "o_orderkey", "l_linenumber", "l_extendedprice"),
@@ -162,7 +176,7 @@ ordered("sort_already_ordered", by(by(cols(scan("customer"), "c_custkey", "c_nam
 # The flagship: all five nodes
 _ALL = [("l_orderkey", True), ("l_linenumber", True), ("l_quantity", False), ("o_totalprice", True), ("l_partkey", True)]
 FLAGSHIP = cols(by(where(_LO, ("l_quantity", "GTE", f64(30.0)), ("o_orderstatus", "EQ", string("F"))), *_ALL), *(n for n, _ in _ALL))
-tree("flagship", FLAGSHIP, "SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice, l_partkey FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_quantity >= 30 AND o_orderstatus = 'F'")
+ordered("flagship", FLAGSHIP, "SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity DESC, o_totalprice, l_partkey) AS place FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_quantity >= 30 AND o_orderstatus = 'F'")
 
 
 # Sources, sinks and statistics
@@ -176,16 +190,11 @@ def registered(sql: str | None = None):
     return put
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/') if base else tempfile.gettempdir()}/lathe-pipe-{os.getpid()}"
-
-
 @registered("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 def source_pipe_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as pipe-delimited text, and read back by its schema."""
     df = Catalog.of_parquet(spark, sf_dir).table("part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    path = f"{_shared_folder(spark)}-{abs(hash(sf_dir))}"
+    path = shared_folder(spark)
     write_pipe(df, path)
     return read_pipe(spark, path, TableSpec("part", "part", [ColumnSpec(f.name, type_name(f.dataType)) for f in df.schema]))
 
@@ -198,15 +207,15 @@ def sink_pipe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_text(Catalog.of_parquet(spark, sf_dir).table("part").select("p_partkey", "p_name", "p_retailprice"))
 
 
-_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice"]
-_FACTS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
+_FACTS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def _each(columns: list[str], select: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {select.format(c=c)} FROM orders" for c in columns)
 
 
-@registered(_each(_COLUMNS, "CAST(min({c}) AS DOUBLE) AS lower_bound, CAST(max({c}) AS DOUBLE) AS upper_bound"))
+@registered(_each(_COLUMNS, "CAST(min({c}) AS VARCHAR) AS lower_bound, CAST(max({c}) AS VARCHAR) AS upper_bound"))
 def stats_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.ranges(Catalog.of_parquet(spark, sf_dir).table("orders"), _COLUMNS)
 
@@ -230,11 +239,29 @@ def stats_physical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.physical_order(Catalog.of_parquet(spark, sf_dir).table("orders"), _FACTS)
 
 
-@registered()
+_TENTHS = ", ".join(str(i / 10) for i in range(1, 10))
+
+
+@registered(
+    f"""
+    WITH marks AS (SELECT list_distinct(quantile_disc(o_totalprice, [{_TENTHS}])) AS m FROM orders)
+    SELECT CAST(len(list_filter(m, lambda x: x < o_totalprice)) AS INTEGER) AS bucket,
+           min(o_totalprice) AS lower_bound, max(o_totalprice) AS upper_bound, count(*) AS frequency
+    FROM orders, marks GROUP BY 1
+    """
+)
 def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.histogram(Catalog.of_parquet(spark, sf_dir).table("orders"), "o_totalprice")
 
 
-@registered()
+_KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
+
+
+@registered(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values, TRUE AS sketch_is_close FROM lineitem" for c in _KEYS))
 def stats_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.approx_distinct(Catalog.of_parquet(spark, sf_dir).table("lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
+    """The sketch beside exact counts: it must be within 6 %, some three and a half standard deviations."""
+    table = Catalog.of_parquet(spark, sf_dir).table("lineitem")
+    exact = statistics.cardinality(table, _KEYS).withColumnRenamed("cardinality", "distinct_values")
+    both = exact.join(statistics.approx_distinct(table, _KEYS), "column_name")
+    close = F.abs(F.col("cardinality") - F.col("distinct_values")) <= 0.06 * F.col("distinct_values")
+    return both.select("column_name", "distinct_values", close.alias("sketch_is_close"))

@@ -5,10 +5,13 @@ Numbers are little-endian; strings are UTF-8 and end with a zero byte, so they h
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,20 +23,32 @@ _NUMBERS = {T.IntegerType(): "<i", T.LongType(): "<q", T.FloatType(): "<f", T.Do
 
 
 def decode_block(block: bytes, schema: T.StructType) -> list[list]:
-    """The columns of a block's rows."""
-    columns: list[list] = [[] for _ in schema]
-    at, (rows,) = 0, struct.unpack_from("<H", block, len(block) - 2)
+    """The columns of a block's rows: numbers alone by one view of the block, else runs of numbers and strings row by row."""
+    (rows,) = struct.unpack_from("<H", block, len(block) - 2)
     kinds = [_NUMBERS.get(f.dataType) for f in schema]
+    if all(kinds):
+        packed = np.frombuffer(block, np.dtype([(str(i), kind) for i, kind in enumerate(kinds)]), rows)
+        return [packed[str(i)] for i in range(len(kinds))]
+    runs: list = []  # a packed run of numbers, or None for a string
+    for kind in kinds:
+        if kind and runs and runs[-1]:
+            runs[-1] += kind[1]
+        else:
+            runs.append(kind)
+    plan = [r and struct.Struct(r) for r in runs]
+    at, made = 0, []
     for _ in range(rows):
-        for out, kind in zip(columns, kinds, strict=True):
-            if kind:
-                out.append(struct.unpack_from(kind, block, at)[0])
-                at += struct.calcsize(kind)
+        row: list = []
+        for packed in plan:
+            if packed:
+                row += packed.unpack_from(block, at)
+                at += packed.size
             else:
                 end = block.index(0, at)
-                out.append(block[at:end].decode())
+                row.append(block[at:end].decode())
                 at = end + 1
-    return columns
+        made.append(row)
+    return [list(c) for c in zip(*made, strict=True)] if made else [[] for _ in kinds]
 
 
 def encode_rows(rows: Iterator[tuple], schema: T.StructType, size: int = BLOCK_SIZE) -> Iterator[bytes]:
@@ -88,7 +103,22 @@ def to_blocks(df: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
 
 
 def write_blocks(df: DataFrame, path: str, size: int = BLOCK_SIZE) -> None:
-    """To one local file, partition by partition."""
-    with open(path, "wb") as out:
-        for row in to_blocks(df, size).toLocalIterator():
-            out.write(row.block)
+    """To a folder with one file for each partition, written by the tasks; all executors must see the folder.
+
+    A file gets its name when it is whole, so a task that runs again leaves one file.
+    """
+    os.makedirs(path, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, count = f"{path}/part-{task.partitionId():05d}", 0
+        own = f"{path}/.{task.taskAttemptId()}"
+        with open(own, "wb") as out:
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    out.write(block)
+                    count += 1
+        os.replace(own, name) if count else os.remove(own)
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["blocks"])
+
+    to_blocks(df, size).mapInArrow(run, "blocks long").agg({"blocks": "sum"}).collect()
