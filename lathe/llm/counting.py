@@ -1,4 +1,4 @@
-"""Counts of strings by class over a whole table, and the part of them that is frequent enough for a model."""
+"""Counts of strings by class over a whole table."""
 
 from __future__ import annotations
 
@@ -9,52 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import schema_of, small_batches, staged
+from lathe.llm.common import schema_of, small_batches
 
-_COUNTS = "class string, fold int, kind int, gram string, n long"
+_COUNTS = "class string, unit string, n long"
 #: Distinct strings that a task holds before it passes on its counts.
 HELD = 200_000
 
 
-def gram_counts(texts: DataFrame, units: Callable[[str], list[str]], grams: Callable[[Counter], Iterator[tuple[int, str, int]]]) -> DataFrame:
-    """class, fold, kind, gram, n from rows (class, fold, text), summed in each task first.
-
-    A text is cut into units, which are counted; ``grams`` makes counts of grams, with their kinds, of those of units.
-    """
+def unit_counts(texts: DataFrame, units: Callable[[str], list[str]]) -> DataFrame:
+    """class, unit, n from rows (class, text), summed in each task first. All are counted; none is left out."""
     small_batches(texts.sparkSession)
     fields = schema_of(_COUNTS)
 
-    def rows(held: dict) -> pa.RecordBatch:
-        made = [(label, fold, *row) for (label, fold), counter in held.items() for row in grams(counter)]
-        columns = [*zip(*made, strict=True)] if made else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+    def rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for label, counter in held.items():
+            columns = ([label] * len(counter), list(counter), list(counter.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held: dict[str, Counter] = {}
         for batch in batches:
-            for label, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((label, fold), Counter()).update(units(text))
+            for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(label, Counter()).update(units(text))
             if sum(map(len, held.values())) > HELD:
-                yield rows(held)
+                yield from rows(held)
                 held = {}
-        if held:
-            yield rows(held)
-
-    return texts.select("class", "fold", "text").mapInArrow(run, _COUNTS).groupBy("class", "fold", "kind", "gram").agg(F.sum("n").alias("n"))
-
-
-def frequent(counts: DataFrame, share: float, path: str, everywhere: bool = False) -> tuple[list, dict]:
-    """The rows (class, kind, gram, [n by fold 0 and 1]) of grams with at least ``share`` of their class and kind.
-
-    So there are at most 1 / share of them for each class and kind, however large the table: this bounds the model. With
-    ``everywhere``, a gram that one class keeps has its counts in all classes. Also gives the totals by (class, kind, fold).
-    """
-    both = counts.groupBy("class", "kind", "gram").agg(F.sum(F.when(F.col("fold") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("fold") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    both = staged(both, path)
-    totals = both.groupBy("class", "kind").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    sums = {(r[0], r[1], fold): r[2 + fold] for r in totals.collect() for fold in (0, 1)}  # one row for each class and kind
-    kept = both.join(F.broadcast(totals), ["class", "kind"]).where(F.col("n0") + F.col("n1") >= share * (F.col("t0") + F.col("t1")))
-    if everywhere:
-        kept = both.join(kept.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi")
-    table = kept.select("class", "kind", "gram", "n0", "n1").toArrow()
-    return list(zip(*(c.to_pylist() for c in table.columns), strict=True)), sums
+        yield from rows(held)
+
+    return texts.select("class", "text").mapInArrow(run, _COUNTS).groupBy("class", "unit").agg(F.sum("n").alias("n"))

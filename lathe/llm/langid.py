@@ -1,151 +1,193 @@
 """Operator 8: language by words first, with backoff to character n-grams.
 
 The model is learned from labelled texts: how often each language has each word, and each n-gram of 1 to 4 characters of
-its words (with marks for their ends). All texts are counted; strings with at least 1 in 100,000 of a language's words, or
-n-grams of one length, make the model with their counts in all languages, so it has at most 100,000 strings a language and length
-whatever the corpus. A word
-that the model knows scores its log frequency in each language. An unseen one scores by its n-grams of 4 characters that
-the model knows; if it knows none, by those of 3, and so on. The highest mean over a text's words wins; of equal ones the
-first language by name.
+its words (with marks for their ends). All strings of all texts make the model, however rare: it is two tables that grow
+with the input. A word that the model knows scores its log frequency in each language (one that a language hasn't seen
+counts there as a tenth). An unseen word scores by the mean of its n-grams of 4 characters that the model knows; if it knows
+none, by those of 3, and so on; if it knows none at all, 0 in every language. A text's score in a language is the sum of its
+words' scores by the square root of their number; the highest wins, of equal ones the first language by name. ``score`` is
+the winner's share of the exponentials: 1 is certain, 1 by the number of languages is a guess.
+
+Words with at least 1 in 100,000 of all learned words are few enough to go to all tasks, and are summed up where the text
+is. The other words of a text are joined with the model's tables; each distinct one is looked up once. This split decides
+where a word is scored, not how: results don't depend on it.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned. Rows with a
-null text or language teach nothing. Repeated rows give repeated rows; an empty table gives an empty table; other columns
-of the input are ignored.
+null text or language teach nothing. A very long text's words are counted at once, then it has a row for each distinct rare
+word. Repeated rows give repeated rows; an empty table gives an empty table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import arrow_map, small_batches, unnamed, workspace
-from lathe.llm.counting import frequent, gram_counts
+from lathe.llm.common import free_name, row_key, salted_join, schema_of, small_batches, staged, steps, workspace
+from lathe.llm.counting import unit_counts
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
-WORD = 0
-#: Words whose scores a worker process keeps, and some more within a text.
-KEPT = 250_000
+#: The least share of all learned words that makes a word go to all tasks: at most its inverse are so frequent.
+SHARE = 1e-5
+#: What a string counts in a language that hasn't seen it.
+UNSEEN = 0.1
+_GRAM_ROW = "class string, gram string, n long"
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams_of(word: str, n: int) -> Iterator[str]:
-    ends = f"_{word}_"
-    return (ends[i : i + n] for i in range(len(ends) - n + 1))
+def gram_counts(words: DataFrame) -> DataFrame:
+    """class, gram, n: the n-grams of counted words (class, unit, n). ``_`` marks both ends of a word.
 
+    Only the longest n-grams are counted word by word, up to and over the word's end; their beginnings are the shorter.
+    """
+    fields, n = schema_of(_GRAM_ROW), LONGEST
+
+    def made(held: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+        for label, longest in held.items():
+            grams: Counter = Counter()
+            for gram, times in longest.items():
+                gram = gram.rstrip("\0")
+                for k in range(1, len(gram) + 1):
+                    grams[gram[:k]] += times
+            columns = ([label] * len(grams), list(grams), list(grams.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {}
+        for batch in batches:
+            for label, word, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                longest = held.setdefault(label, {})
+                ends = f"_{word}_\0\0\0"
+                for i in range(len(word) + 2):
+                    gram = ends[i : i + n]
+                    longest[gram] = longest.get(gram, 0) + times
+            if sum(map(len, held.values())) > 200_000:
+                yield from made(held)
+                held = {}
+        yield from made(held)
 
-def _grams(words: Counter) -> Iterator[tuple[int, str, int]]:
-    """Only the longest n-grams are counted word by word, up to and over the word's end; their beginnings are the shorter."""
-    longest: dict[str, int] = {}
-    get, n = longest.get, LONGEST
-    for word, times in words.items():
-        ends = f"_{word}_\0\0\0"
-        for i in range(len(word) + 2):
-            gram = ends[i : i + n]
-            longest[gram] = get(gram, 0) + times
-    shorter: Counter = Counter()
-    for gram, times in longest.items():
-        gram = gram.rstrip("\0")
-        for k in range(1, len(gram) + 1):
-            shorter[gram[:k]] += times
-    yield from ((WORD, w, times) for w, times in words.items())
-    yield from ((len(g), g, times) for g, times in shorter.items())
+    return words.select("class", "unit", "n").mapInArrow(run, _GRAM_ROW).groupBy("class", "gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
 class LanguageModel:
-    """Log frequencies by language of known words and n-grams."""
-
-    def __init__(self, rows: list, totals: dict):
-        self.languages = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.languages)}
-        known: dict[tuple[int, str], dict[int, int]] = {}
-        for label, kind, gram, n0, n1 in rows:
-            known.setdefault((kind, gram), {})[at[label]] = n0 + n1
-        sums = np.ones((LONGEST + 1, len(at)))
-        for (label, kind, _), n in totals.items():
-            if label in at:
-                sums[kind, at[label]] += n or 0
-        self.logs = np.full((len(known), len(at)), 0.1)
-        self.known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        for i, ((kind, gram), found) in enumerate(known.items()):
-            self.known[kind][gram] = i
-            for language, n in found.items():
-                self.logs[i, language] += n
-            self.logs[i] = np.log(self.logs[i] / sums[kind])
-        self._kept: dict[str, int] | None = None
-
-    def word_scores(self, word: str) -> np.ndarray:
-        at = self.known[WORD].get(word)
-        if at is not None:
-            return self.logs[at]
-        for n in range(LONGEST, 0, -1):
-            own = self.known[n]
-            parts = [i for g in grams_of(word, n) if (i := own.get(g)) is not None]
-            if parts:
-                return self.logs[parts].sum(0) / len(parts)
-        return np.zeros(len(self.languages))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language, and its share of the probability (0 to 1)."""
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        if self._kept is None or len(self._kept) > KEPT:
-            self._kept = _WordRows(self)
-        words = words_of(text)
-        total = np.zeros(len(self.languages))
-        for first in range(0, len(words), KEPT):
-            some = words[first : first + KEPT]
-            rows = np.fromiter(map(self._kept.__getitem__, some), np.int64, len(some))
-            total += self._kept.scores[rows].sum(0)
-        total /= math.sqrt(max(1, len(words)))
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
-
-
-class _WordRows(dict):
-    """Rows of ``scores`` by word; made when a word is first seen."""
-
-    def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.model, self.scores = model, np.zeros((KEPT, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[i] = self.model.word_scores(word)
-        self[word] = i
-        return i
+    """Languages by name, and tables of log frequencies: words and grams (unit, s: one number a language, n: how often in all)."""
 
+    languages: list[str]
+    words: DataFrame
+    grams: DataFrame
+    total: int
 
-def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
-    """From all rows (text, lang) where neither is null."""
-    rows = docs.where("text is not null and lang is not null").select(F.col("lang").alias("class"), F.lit(0).alias("fold"), "text")
-    return LanguageModel(*frequent(gram_counts(rows, words_of, _grams), 1e-5, f"{path or workspace(docs.sparkSession)}/grams", everywhere=True))
 
+def _by_language(counts: DataFrame, unit: str, sums: Column, languages: list[str]) -> DataFrame:
+    """unit, s, n from rows (class, unit, n); ``sums`` has each language's total."""
+    own = [F.sum(F.when(F.col("class") == x, F.col("n")).otherwise(0)) for x in languages]
+    found = counts.groupBy(F.col(unit).alias("unit")).agg(F.sum("n").alias("n"), F.array(*own).alias("own"))
+    return found.select("unit", F.zip_with("own", sums, lambda n, t: F.log((n + F.lit(UNSEEN)) / t)).alias("s"), "n")
 
-def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The named columns of each row and lang_pred, score; only the text is looked at."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__lathe_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", lang_pred string, score double"
-
-    def rows(part: pa.RecordBatch) -> dict:
-        found = [shared.value.predict(x) for x in part.column(len(columns)).to_pylist()]
-        return {c: part.column(i) for i, c in enumerate(columns)} | {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
-    return arrow_map(kept, rows, schema, "__lathe_text")
+def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
+    """From all rows (text, lang) where neither is null. The tables are staged."""
+    path = path or workspace(docs.sparkSession)
+    rows = docs.where("text is not null and lang is not null").select(F.col("lang").alias("class"), "text")
+    words = staged(unit_counts(rows, words_of), f"{path}/words")
+    grams = staged(gram_counts(words), f"{path}/grams")
+    totals = {r[0]: r[1] for r in words.groupBy("class").agg(F.sum("n")).collect()}  # one row for each language
+    lengths = {(r[0], r[1]): r[2] for r in grams.groupBy("class", F.length("gram")).agg(F.sum("n")).collect()}  # four for each
+    languages = sorted(totals)
+    if not languages:
+        none = docs.sparkSession.createDataFrame([], "unit string, s array<double>, n long")
+        return LanguageModel([], none, none, 0)
+    of = lambda numbers: F.array(*(F.lit(float(1 + x)) for x in numbers))
+    by_length = F.element_at(F.array(*(of(lengths.get((x, k), 0) for x in languages) for k in range(1, LONGEST + 1))), F.length("unit"))
+    word_table = staged(_by_language(words, "unit", of(totals[x] for x in languages), languages), f"{path}/word_scores")
+    gram_table = staged(_by_language(grams, "gram", by_length, languages), f"{path}/gram_scores")
+    return LanguageModel(languages, word_table, gram_table, sum(totals.values()))
+
+
+def backoff(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """unit, s for distinct words (unit): the mean of the longest n-grams that are known; zeros if none is."""
+    width = len(model.languages)
+    ends = F.concat(F.lit("_"), "unit", F.lit("_"))
+    all_of = lambda k: F.transform(F.sequence(F.lit(1), F.length(ends) - (k - 1)), lambda i: F.substr(ends, i, F.lit(k)))
+    each = F.flatten(F.array(*(F.when(F.length(ends) >= k, all_of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1))))
+    places = words.select("unit", F.explode(each).alias("gram"))
+    sizes = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    known = salted_join(places, model.grams.select(F.col("unit").alias("gram"), "s"), "gram", sizes, words.count(), "unit")
+    means = known.groupBy("unit", F.length("gram").alias("k")).agg(F.array(*(F.avg(F.col("s")[i]) for i in range(width))).alias("s"))
+    best = means.groupBy("unit").agg(F.max(F.struct("k", "s")).alias("best"))
+    zeros = F.array(*(F.lit(0.0) for _ in range(width)))
+    return words.join(best, "unit", "left").select("unit", F.coalesce("best.s", zeros).alias("s"))
+
+
+def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",), share: float = SHARE, path: str | None = None) -> DataFrame:
+    """The named columns of each row and lang_pred, score; only the text is looked at."""
+    spark, width = docs.sparkSession, len(model.languages)
+    text = free_name([*columns, "lang_pred", "score"], "text")
+    kept = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias(text))
+    if not width:
+        return kept.drop(text).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    small_batches(spark)
+    path = path or workspace(spark)
+    names = [f"c{i}" for i in range(len(columns))]
+    common = model.words.where(F.col("n") >= share * model.total).select("unit", "s").toArrow()  # at most 1 / share rows
+    scores = np.asarray(common.column(1).combine_chunks().flatten()).reshape(-1, width)
+    shared = spark.sparkContext.broadcast((dict(zip(common.column(0).to_pylist(), range(len(scores)), strict=True)), scores))
+    schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kept.schema, strict=False)) + "rid long, n_words long, own array<double>, rare array<string>, times array<long>"
+    fields = schema_of(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, table = shared.value
+        for batch in batches:
+            for part in steps(batch, len(columns)):
+                made: list[list] = [[], [], [], []]
+                for x in part.column(len(columns)).to_pylist():
+                    words = words_of(x) if x else []
+                    counted = Counter(words)
+                    at, times, rare, rare_times = [], [], [], []
+                    for word, n in counted.items():
+                        i = place.get(word)
+                        if i is None:
+                            rare.append(word)
+                            rare_times.append(n)
+                        else:
+                            at.append(i)
+                            times.append(n)
+                    own = np.asarray(times, np.float64) @ table[at] if at else np.zeros(width)
+                    letters = bool(x) and any(map(str.isalpha, x))
+                    for column, value in zip(made, (len(words) if letters else None, own, rare, rare_times), strict=True):
+                        column.append(value)
+                arrays = [*part.columns[: len(columns)], part.column(len(columns) + 1)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, f.type) for c, f in zip(made, [*fields][-4:], strict=True))], schema=fields)
+
+    plain = kept.toDF(*names, text).withColumn("rid", F.monotonically_increasing_id())
+    rows = staged(plain.mapInArrow(run, schema), f"{path}/rows")
+    rare = rows.select("rid", F.explode(F.arrays_zip(F.col("rare").alias("unit"), "times")).alias("w")).select("rid", "w.unit", "w.times")
+    units = staged(rare.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), f"{path}/units")
+    looked_up = staged(units.join(model.words.select("unit", "s"), "unit", "left"), f"{path}/looked_up")
+    known, unseen = looked_up.where("s is not null").select("unit", "s"), staged(looked_up.where("s is null").select("unit"), f"{path}/unseen")
+    found = staged(known.unionByName(backoff(unseen, model)), f"{path}/scores")
+    total = units.agg(F.sum("n")).first()[0] or 0
+    met = salted_join(rare, found, "unit", units, total, "rid")
+    sums = met.groupBy("rid").agg(*(F.sum(F.col("times") * F.col("s")[i]).alias(f"s{i}") for i in range(width)))
+
+    whole = rows.drop("rare", "times").join(sums, "rid", "left")
+    each = [(F.col("own")[i] + F.coalesce(f"s{i}", F.lit(0.0))) / F.sqrt(F.greatest("n_words", F.lit(1))) for i in range(width)]
+    whole = whole.withColumn("each", F.array(*each)).withColumn("most", F.array_max("each"))
+    language = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("each", F.col("most")).cast("int"))
+    certain = 1 / F.aggregate("each", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))
+    of_text = F.col("n_words").isNotNull()
+    return whole.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)), F.when(of_text, language).otherwise("und").alias("lang_pred"), F.when(of_text, certain).otherwise(0.0).alias("score"))
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -153,19 +195,18 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is found with at least that score.
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that aren't ``und``; ``lang`` is the language found.
 
-    The model is learned from the rows' own labels, without the held-out ones.
+    The model is learned from the rows' own labels, without the held-out ones. If there are none to learn from, rows whose
+    text has a letter stay as they are.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(held_out(docs).where("not held_out and doc_id is not null")))
-
-    at, names = docs.columns.index("text"), docs.columns
-
-    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(x) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([x != "und" and score >= least for x, score in found], pa.bool_())).rename_columns(names)
-
-    return unnamed(docs).mapInArrow(sure, docs.schema)
+    names, key = docs.columns, free_name(docs.columns)
+    model = learn(held_out(docs.select("doc_id", "text", "lang")).where("not held_out and doc_id is not null"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    path = workspace(docs.sparkSession)
+    found = identified(docs.select(row_key().alias(key), "text"), model, (key,), path=path).groupBy(key).agg(F.first("lang_pred").alias("found"))
+    found = staged(found.where("found <> 'und'").select(key, F.col("found").alias(f"{key}_found")), f"{path}/found")
+    both = docs.withColumn(key, row_key()).join(found, key)
+    return both.select(*(F.col(f"{key}_found").cast(docs.schema["lang"].dataType).alias("lang") if n == "lang" else F.col(f"`{n}`") for n in names))

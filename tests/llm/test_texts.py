@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lathe.llm import counting, langid, licenses, pii, quality, urls
+from lathe.llm import langid, licenses, pii, quality, urls
 from lathe.llm.queries import QUERIES
 
 
@@ -247,6 +247,58 @@ def test_languages(spark, sf_dir):
     assert total and right / total > 0.95
 
 
+def word_scores(rows, languages):
+    """Brute force: log frequencies of all words and n-grams by language, and a word's scores."""
+    words = {x: Counter() for x in languages}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            words[lang].update(langid.words_of(text))
+    grams = {x: Counter() for x in languages}
+    for x, counted in words.items():
+        for w, n in counted.items():
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    grams[x][f"_{w}_"[i : i + k]] += n
+    sums = {(x, k): 1 + sum(n for g, n in grams[x].items() if len(g) == k) for x in languages for k in range(1, 5)}
+    totals = {x: 1 + sum(words[x].values()) for x in languages}
+
+    def scores(word):
+        if any(word in words[x] for x in languages):
+            return np.log([(words[x][word] + 0.1) / totals[x] for x in languages])
+        for k in range(4, 0, -1):
+            known = [g for i in range(len(word) + 3 - k) if any((g := f"_{word}_"[i : i + k]) in grams[x] for x in languages)]
+            if known:
+                return np.mean([[np.log((grams[x][g] + 0.1) / sums[x, k]) for x in languages] for g in known], axis=0)
+        return np.zeros(len(languages))
+
+    return scores
+
+
+def predicted(text, scores, languages):
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    words = langid.words_of(text)
+    total = sum(map(scores, words), np.zeros(len(languages))) / max(1, len(words)) ** 0.5
+    return languages[int(np.argmax(np.round(total, 9)))], 1 / np.exp(total - total.max()).sum()
+
+
+@pytest.mark.parametrize("share", [0, 1e-3, 2])
+def test_languages_against_brute_force(spark, odd, share):
+    """The same, whatever part of the words goes to all tasks: all, some or none."""
+    rows = [("the cat sat", "en"), ("the dog and the cat", "en"), ("der hund und die katze", "de"), ("le chat", "fr"), (None, "fr"), ("und und und", None)]
+    rows += [(t, "en" if t and "the" in t else "de") for (t,) in odd.select("text").limit(8).collect()]
+    new = [(t, None) for t in ("the hound", "Hunde", "Katzen und", "x", "ж", "9", "ªª", "catz zzz " * 50, "日本", "the und", "_")]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "en", "fr"]
+    scores = word_scores(rows, model.languages)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows + new)], "doc_id long, text string")
+    found = {r.doc_id: r for r in langid.identified(docs, model, share=share).collect()}
+    assert len(found) == len(rows + new)
+    for i, (text, _) in enumerate(rows + new):
+        want = predicted(text, scores, model.languages)
+        assert found[i].lang_pred == want[0] and abs(found[i].score - want[1]) < 1e-6, text
+
+
 def test_languages_of_odd_rows(odd, empty):
     model = langid.learn(odd)
     found = langid.identified(odd, model).collect()
@@ -258,28 +310,8 @@ def test_languages_of_odd_rows(odd, empty):
     assert langid.identified(empty, model).collect() == []
     left = langid.accepted(odd)
     assert left.schema == odd.schema and left.count() == odd.where("text rlike '[a-zж]'").count()
-
-
-def test_kept_strings_have_their_counts_in_all_languages(spark, tmp_path):
-    counts = spark.createDataFrame([("a", 0, 0, "x", 90), ("b", 0, 0, "x", 5), ("b", 0, 0, "y", 5), ("b", 0, 0, "z", 90), ("a", 0, 1, "x", 0)], "class string, fold int, kind int, gram string, n long")
-    rows, totals = counting.frequent(counts, 0.5, str(tmp_path / "grams"), everywhere=True)
-    assert sorted(r[:4] for r in rows if r[1] == 0) == [("a", 0, "x", 90), ("b", 0, "x", 5), ("b", 0, "z", 90)]
-    assert totals["b", 0, 0] == 100
-
-
-def test_languages_count_words_that_another_keeps(spark):
-    """A word just below the share of one language has its count there, not 0.1."""
-    text = " ".join(f"w{'abcdefghij'[i % 10]}" for i in range(150_000))
-    rows = [("a", "kept " * 9 + text), ("b", "kept " + text)]
-    model = langid.learn(spark.createDataFrame(rows, "lang string, text string"))
-    assert abs(model.word_scores("kept") - np.log([9.1 / 150_010, 1.1 / 150_002])).max() < 1e-9
-
-
-def test_backoff_and_ties():
-    grams = [("b", 0, "haus", 5, 0), ("a", 0, "house", 5, 0), ("a", 2, "ou", 9, 0), ("b", 2, "au", 9, 0), ("a", 1, "x", 1, 0), ("b", 1, "x", 1, 0)]
-    model = langid.LanguageModel(grams, {(c, k, 0): 100 for c in "ab" for k in range(5)})
-    assert model.predict("haus")[0] == "b" and model.predict("louse")[0] == "a" and model.predict("bau")[0] == "b"
-    assert model.predict("x") == ("a", 0.5) and model.predict("5") == ("und", 0.0)
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.accepted(unlabelled).count() == left.count() and langid.accepted(unlabelled).where("lang is not null").count() == 0
 
 
 # Urls
@@ -315,6 +347,51 @@ def test_urls(spark, sf_dir):
     assert urls.judged(docs.limit(0)).collect() == []
 
 
+class Markov:
+    """Brute force: P(character | up to five before it), Witten-Bell, from all urls of a class."""
+
+    def __init__(self, plains):
+        self.counts = Counter()
+        for url in plains:
+            padded = "\x02" * 5 + url + "\x03"
+            self.counts.update(padded[i - n + 1 : i + 1] for i in range(5, len(padded)) for n in range(1, 7))
+        self.sums, self.kinds = Counter(), Counter()
+        for gram, n in self.counts.items():
+            self.sums[gram[:-1]] += n
+            self.kinds[gram[:-1]] += 1
+
+    def p(self, gram):
+        lower = self.p(gram[1:]) if len(gram) > 1 else 1 / 1024
+        total, kinds = self.sums[gram[:-1]], self.kinds[gram[:-1]]
+        return (self.counts[gram] + kinds * lower) / (total + kinds) if total else lower
+
+    def log(self, url):
+        padded = "\x02" * 5 + url + "\x03"
+        return sum(np.log(self.p(padded[i : i + 6])) for i in range(len(url) + 1)) / (len(url) + 1)
+
+
+def test_urls_against_brute_force(spark, sf_dir):
+    """Scores by two models of all ruled urls; the threshold by models of three quarters of them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    rows = urls.judged(spark.createDataFrame(pages)).collect()
+    plain = {p.page_id: re.sub("[0-9]", "0", p.url.partition("://")[2].lower() if "://" in p.url else p.url.lower()) for p in pages if p.url is not None}
+    ruled = {r.page_id: url_rule(r.host, r.path)[1] for r in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 == 0 for i in plain}
+    models = {(v, whole): Markov([u for i, u in plain.items() if ruled[i] == v and (whole or not fold[i])]) for v in ("allow", "block") for whole in (True, False)}
+    score = lambda u, whole: models["allow", whole].log(u) - models["block", whole].log(u)
+    trial = [(score(u, False), ruled[i]) for i, u in plain.items() if ruled[i] and fold[i]]
+    for r in rows:
+        want = score(plain[r.page_id], True) if r.page_id in plain else 0.0
+        assert abs(r.score - want) < 1e-9
+    free = [r for r in rows if r.rule is None]
+    cuts = sorted({r.score for r in free if r.verdict == "allow"})[:1], sorted({r.score for r in free if r.verdict == "block"})[-1:]
+    assert not (cuts[0] and cuts[1]) or cuts[1][0] < cuts[0][0]
+    right = lambda t: np.mean([(s >= t) for s, v in trial if v == "allow"]) + np.mean([(s < t) for s, v in trial if v == "block"])
+    if cuts[0] and cuts[1]:
+        near = [t for t in np.linspace(-10, 10, 4001) if cuts[1][0] < t <= cuts[0][0]]
+        assert max(map(right, [*near, (cuts[0][0] + cuts[1][0]) / 2])) >= max(map(right, np.linspace(-10, 10, 2001))) - 0.02
+
+
 def test_url_models(spark):
     rows = [(i, f"http://{'good' if i % 2 else 'spam'}{i}.example.{'net/de' if i % 2 else 'org/es'}/{'news' if i % 2 else 'pills'}/{i}") for i in range(400)]
     rows += [(1000 + i, f"http://{w}.example.edu/{p}/{i}") for i, (w, p) in enumerate([("good77", "news"), ("spam77", "pills")] * 20)]
@@ -322,8 +399,3 @@ def test_url_models(spark):
     assert all((r.verdict == "allow") == (r.page_id % 2 == 0) for r in found) and all(r.rule is None for r in found)
     one_sided = urls.judged(spark.createDataFrame(rows[1:400:2] + rows[400:], "page_id long, url string"))
     assert one_sided.where(F.col("verdict") == "block").count() == 0
-
-
-def test_markov_model_is_a_distribution():
-    model = urls.MarkovModel({"a": 3, "b": 1, "ab": 2, "aa": 1})
-    assert abs(sum(model._p("a" + chr(c)) for c in range(1024)) - 1) < 1e-9
