@@ -1,17 +1,22 @@
 """Operator 5: licence scans by diagonal voting, in DataFrame operations only.
 
-A text's words are joined, as word pairs, to the positions of word pairs in templates (a fixed list, so it is broadcast;
-the pairs are found by a hash and their words are compared). A match of text position p and template position t votes for
-the diagonal p - t. Votes are summed by diagonal; diagonals of one template that lie next to each other (a word was put in
-or left out) are merged; a merged span counts when it covers ``coverage`` (0.82) of the template's pairs. A base phrase counts
-wherever all its words stand consecutively.
-
-Null and empty texts have no words, labels or places and score 0. Repeated rows give repeated rows; an empty table gives
-an empty table; other columns of the input are ignored.
+All rolling hashes of a text's word k-grams are joined to the positions of k-grams in templates (a fixed list, so it is
+broadcast; k-grams found by their hash are compared word by word). Sentences and base phrases go by pairs of words, whole
+licence texts (``license_texts.txt``) by four words, as pairs of them are common in prose. A match of text position p and
+template position t votes for the diagonal p - t. Votes are summed by diagonal. Diagonals of one template up to ``GAP``
+apart (words were put in or left out) are merged around each diagonal; the merged span is verified by the distinct
+template positions that it covers, and counts if they are ``coverage`` (0.82) of all. So a span is never longer than its
+template and twice ``GAP``, and templates may be of any length. A base phrase counts wherever all its words stand consecutively.
+
+Null and empty texts have no words, labels or places and score 0. A very long text has a row for each of its words on the
+way, and its matches meet in one task. Repeated rows give repeated rows; an empty table gives an empty table; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +30,7 @@ BASE_PHRASES = (
     ("apache license", "apache"),
     ("general public license", "gpl"),
 )
-#: Template and label: well-known sentences of public licences, as words (at most 62).
+#: Template and label: well-known sentences of public licences, as words.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -43,7 +48,9 @@ TEMPLATES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
 )
 #: Diagonals this near are one span.
-GAP = 2
+GAP = 4
+#: Templates of more words than this go by k-grams of four words.
+SENTENCE = 25
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,48 +59,66 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def _pairs(spark: SparkSession, phrases: tuple, templates: tuple) -> DataFrame:
-    rows = [
-        (number, t, a, b, label, len(words) - 1, base)
-        for number, (words, label, base) in enumerate([*((p.split(), x, True) for p, x in phrases), *((p.split(), x, False) for p, x in templates)])
-        for t, (a, b) in enumerate(zip(words, words[1:], strict=False))
-    ]
-    assert all(r[5] <= 61 for r in rows), "a template has at most 62 words"
-    schema = T.StructType.fromDDL("template int, t int, a string, b string, label string, pairs int, base boolean")
-    return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64("a", "b")).withColumnsRenamed({"a": "a0", "b": "b0"})
+def plain_words(text: str) -> list[str]:
+    """As ``words_of``, of a Python string of ASCII characters."""
+    return "".join(c.lower() if c.isalnum() else " " for c in text).split()
+
+
+def whole_texts(path: str = str(Path(__file__).with_name("license_texts.txt"))) -> tuple[tuple[str, str], ...]:
+    """Template and label from a file: ``== label`` in a line, then the text."""
+    parts = Path(path).read_text().split("== ")[1:]
+    return tuple((" ".join(plain_words(body)), label) for label, _, body in (p.partition("\n") for p in parts))
+
+
+def template_grams(phrases: tuple, templates: tuple) -> list[tuple]:
+    """(template, t, k, gram, label, grams, base): each k-gram of each template at its position t."""
+    out = []
+    for number, (text, label, base) in enumerate([*((p, x, True) for p, x in phrases), *((p, x, False) for p, x in templates)]):
+        words = text.split()
+        k = 2 if len(words) <= SENTENCE else 4
+        out += [(number, t, k, " ".join(words[t : t + k]), label, len(words) - k + 1, base) for t in range(len(words) - k + 1)]
+    return out
+
+
+def _grams(spark: SparkSession, phrases: tuple, templates: tuple) -> DataFrame:
+    schema = T.StructType.fromDDL("template int, t int, k int, gram0 string, label string, grams int, base boolean")
+    return spark.createDataFrame(template_grams(phrases, templates), schema).withColumn("h", F.xxhash64("gram0"))
 
 
-def license_spans(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
+def license_spans(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tuple | None = None) -> DataFrame:
     """Merged spans: rid, doc_id, n_words, template, label, base, covered (0 to 1), first, last, places, first_place, last_place.
 
-    ``first`` and ``last`` are word positions; places are starts of the whole template, word for word. A text without any
-    match has one row with a null template. ``rid`` tells rows of ``docs`` apart.
+    ``first`` and ``last`` are word positions; places are starts of a whole base phrase, word for word. There is a span for
+    each diagonal. A text without any match has one row with a null template. ``rid`` tells rows of ``docs`` apart.
     """
-    found = _pairs(docs.sparkSession, phrases, templates)
+    found = _grams(docs.sparkSession, phrases, TEMPLATES + whole_texts() if templates is None else templates)
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(text_or_empty()).alias("words"))
     texts = texts.withColumn("n_words", F.size("words").cast("long"))
-    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.col("n_words").cast("int"), F.lit(1))).alias("b"))
-    pairs = texts.select("rid", "doc_id", "n_words", F.posexplode_outer(pairs).alias("p", "pair")).select("rid", "doc_id", "n_words", "p", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
-    same = (F.xxhash64("a", "b") == F.col("h")) & (F.col("a") == F.col("a0")) & (F.col("b") == F.col("b0"))
-    votes = pairs.join(F.broadcast(found), same, "left").where("template is not null or p is null or p = 0")
-    # Few rows are left: matches, and one row a text. All rows of a text meet once, for all that follows.
-    votes = votes.select("rid", "doc_id", "n_words", "template", "label", "pairs", "base", (F.col("p") - F.col("t")).cast("long").alias("diagonal"), "t").repartition("rid")
-    text = ["rid", "doc_id", "n_words", "template", "label", "pairs", "base"]
-    lines = votes.groupBy(*text, "diagonal").agg(
-        F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"), F.min(F.col("diagonal") + F.col("t")).alias("first"), F.max(F.col("diagonal") + F.col("t") + 1).alias("last")
-    )
-    order = Window.partitionBy("rid", "template").orderBy("diagonal")
-    far = (F.col("diagonal") - F.lag("diagonal").over(order) > GAP) | F.col("base")
-    lines = lines.withColumn("span", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(order))
-    whole = F.bit_count("mask") == F.col("pairs")
-    spans = lines.groupBy(*text, "span").agg(
-        (F.bit_count(F.bit_or("mask")) / F.col("pairs")).alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.sum(whole.cast("long")).alias("places"), F.min(F.when(whole, F.col("diagonal"))).alias("first_place"), F.max(F.when(whole, F.col("diagonal"))).alias("last_place"),
-    )
-    return spans.drop("span", "pairs")
-
-
-def license_report(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tuple = TEMPLATES, coverage: float = 0.82) -> DataFrame:
+    n = F.col("n_words").cast("int")
+    zipped = F.arrays_zip(F.col("words").alias("a"), *(F.slice("words", i + 2, F.greatest(n - i, F.lit(1))).alias(x) for i, x in enumerate("bcd")))
+    rows = texts.select("rid", "doc_id", "n_words", F.posexplode_outer(zipped).alias("p", "w"))
+    two = F.concat_ws(" ", "w.a", "w.b")
+    both = F.when(F.col("w.d").isNotNull(), F.array(two, F.concat_ws(" ", two, "w.c", "w.d"))).otherwise(F.array(two))
+    grams = rows.select("rid", "doc_id", "n_words", "p", F.explode(both).alias("gram"))
+    votes = grams.join(F.broadcast(found), (F.xxhash64("gram") == F.col("h")) & (F.col("gram") == F.col("gram0")), "left")
+    votes = votes.where("template is not null or p is null or p = 0")
+    # Few rows are left: matches, and one or two rows a text. All rows of a text meet once, for all that follows.
+    votes = votes.select("rid", "doc_id", "n_words", "template", "label", "k", "grams", "base", (F.col("p") - F.col("t")).cast("long").alias("diagonal"), "t").repartition("rid")
+    text = ["rid", "doc_id", "n_words", "template", "label", "grams", "base"]
+    at = F.col("diagonal") + F.col("t")
+    lines = votes.groupBy(*text, "diagonal").agg(F.collect_set("t").alias("own"), F.min(at).alias("first"), F.max(at + F.col("k")).alias("last"))
+    near = Window.partitionBy("rid", "template").orderBy("diagonal").rangeBetween(-GAP, GAP)
+    whole = F.col("base") & (F.size("own") == F.col("grams"))
+    place = F.when(whole, F.col("diagonal"))
+    return lines.select(
+        "rid", "doc_id", "n_words", "template", "label", "base",
+        F.when(F.col("base"), F.size("own")).otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("own").over(near))))).cast("double").alias("matched"), "grams",
+        F.min("first").over(near).alias("first"), F.max("last").over(near).alias("last"),
+        F.coalesce(whole, F.lit(False)).cast("long").alias("places"), place.alias("first_place"), place.alias("last_place"),
+    ).withColumn("covered", F.col("matched") / F.col("grams")).drop("matched", "grams")
+
+
+def license_report(docs: DataFrame, phrases: tuple = BASE_PHRASES, templates: tuple | None = None, coverage: float = 0.82) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     ``labels`` holds those of base phrases and of spans that cover enough of a template; ``score`` is the best cover.

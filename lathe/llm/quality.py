@@ -5,7 +5,7 @@ Lines (between \\n) are judged one by one. A line with words fails if it is long
 web pages (boilerplate). Failed lines are removed. A text is kept unless the base rules fail it or it loses more than half
 of its words.
 
-A null text has no words; it fails, like all texts of under 20 words. Repeated rows give repeated rows; an empty table
+A text is one row throughout; a very long one holds a hash for each of its words beside them. A null text has no words; it fails, like all texts of under 20 words. Repeated rows give repeated rows; an empty table
 gives an empty table; other columns of the input are ignored.
 """
 
@@ -21,7 +21,13 @@ _WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 _SYMBOLS = "#*$%&|<>"
 #: Phrases, in lower case, that mark a line of a web page's frame.
-BOILERPLATE = ("all rights reserved", "cookie policy", "we use cookies", "privacy policy", "terms of use", "terms of service", "click here to", "enable javascript", "skip to content", "sign in to", "subscribe to our newsletter")
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "we use cookies", "privacy policy", "terms of use", "terms of service", "click here to",
+    "enable javascript", "skip to content", "sign in to", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "wir verwenden cookies", "zum inhalt springen", "newsletter abonnieren", "allgemeine gesch", "hier klicken",
+    "tous droits r", "nous utilisons des cookies", "politique de confidentialit", "conditions d'utilisation", "cliquez ici", "aller au contenu",
+    "todos los derechos reservados", "utilizamos cookies", "pol\u00edtica de privacidad", "haga clic aqu", "saltar al contenido",
+)
 _SEPARATORS = r"[|»›·•]"
 _ENDS = r"[.!?…。！？:;]"
 

@@ -41,6 +41,71 @@ def test_licenses(spark, sf_dir, odd, empty):
     assert licenses.license_report(empty).collect() == []
 
 
+def license_brute(text, templates, coverage=0.82, gap=licenses.GAP):
+    """Labels and score: votes by diagonal, template positions of neighbouring diagonals together."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, score = set(license_base(text)[4].split(",")) - {""}, 0.0
+    grams = licenses.template_grams(licenses.BASE_PHRASES, templates)
+    here = {}
+    for k in (2, 4):
+        for p in range(len(words) - k + 1):
+            here.setdefault(" ".join(words[p : p + k]), []).append(p)
+    lines = {}
+    for number, t, _, gram, label, many, base in grams:
+        for p in here.get(gram, []):
+            lines.setdefault((number, label, many, base), {}).setdefault(p - t, set()).add(t)
+    for (_, label, many, base), diagonals in lines.items():
+        for d in diagonals:
+            if base:
+                score = max(score, float(len(diagonals[d]) == many))
+                continue
+            covered = len(set().union(*(ts for e, ts in diagonals.items() if abs(e - d) <= gap))) / many
+            score = max(score, covered)
+            if covered >= coverage:
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def check_license_labels(rows, texts):
+    templates = licenses.TEMPLATES + licenses.whole_texts()
+    want = Counter((d, labels, round(score, 9)) for d, (labels, score) in ((d, license_brute(t, templates)) for d, t in texts))
+    assert Counter((r.doc_id, r.labels, round(r.score, 9)) for r in rows) == want
+
+
+def test_license_labels_against_brute_force(spark, sf_dir, odd):
+    docs = documents(spark, sf_dir)
+    check_license_labels(QUERIES["op5_license_scan"](spark, sf_dir).collect(), docs.select("doc_id", "text").collect())
+    check_license_labels(licenses.license_report(odd).collect(), odd.select("doc_id", "text").collect())
+
+
+def test_whole_licenses(spark):
+    """Whole texts between other words, with lines marked as comments and some words changed."""
+    bodies = {label: text.split() for text, label in licenses.whole_texts()}
+    assert len(bodies) == 10 and min(map(len, bodies.values())) > 25
+    texts = []
+    for label, words in bodies.items():
+        edited = [*words]
+        edited[len(words) // 2] = "changed"
+        edited.insert(len(words) // 3, "inserted")
+        texts.append((label, f"some code {' '.join(edited)} more code".upper()))
+        texts.append(("", " ".join(words[: len(words) // 3])))
+        texts.append(("", " ".join(sorted(words))))
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    found = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(texts):
+        assert not label or label in found[i].labels.split(",")
+    check_license_labels(found.values(), rows)
+
+
+def test_very_long_texts(spark):
+    text = ("the word of it was released under the MIT license and then some. " * 200_000)[:10_000_000]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = licenses.license_report(docs).first()
+    assert r.n_words > 1_500_000 and r.n_base == r.n_words // 13 + (r.n_words % 13 >= 9) and r.labels == "mit"
+    q = quality.cleaned(docs).first()
+    assert q.n_words > 1_500_000 and q.n_repeat_words >= q.n_words - 13 and q.base_failed
+
+
 def test_license_spans(spark):
     texts = [
         "MIT license, mit-License and the apache  LICENSE; mit license",
@@ -77,6 +142,24 @@ def check_quality(rows, texts):
     assert not any(r.kept and r.base_failed for r in rows)
 
 
+def quality_kept(text):
+    """Brute force of kept and lost words: lines that fail are left out."""
+    text, word = text or "", re.compile(r"[^\x20\x09-\x0D]+")
+    lost = 0
+    for line in text.split("\n"):
+        n, separators = len(word.findall(line)), len(re.findall("[|»›·•]", line))
+        failed = n >= 8 and not re.search("[.!?…。！？:;]", line) or separators >= 3 and 3 * separators >= n or any(x in line.lower() for x in quality.BOILERPLATE)
+        lost += n if failed else 0
+    n = len(word.findall(text))
+    return not quality_base(text)[5] and lost <= 0.5 * n, lost
+
+
+def test_kept_against_brute_force(spark, sf_dir, odd):
+    for docs, rows in ((documents(spark, sf_dir), QUERIES["op9_line_quality"](spark, sf_dir).collect()), (odd, quality.cleaned(odd).collect())):
+        want = Counter((d, *quality_kept(t)) for d, t in docs.select("doc_id", "text").collect())
+        assert Counter((r.doc_id, r.kept, r.lost_words) for r in rows) == want
+
+
 def test_quality(spark, sf_dir, odd, empty):
     check_quality(QUERIES["op9_line_quality"](spark, sf_dir).collect(), documents(spark, sf_dir).select("doc_id", "text").collect())
     check_quality(quality.cleaned(odd).collect(), odd.select("doc_id", "text").collect())
