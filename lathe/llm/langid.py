@@ -8,9 +8,10 @@ none, by those of 3, and so on; if it knows none at all, 0 in every language. A
 words' scores by the square root of their number; the highest wins, of equal ones the first language by name. ``score`` is
 the winner's share of the exponentials: 1 is certain, 1 by the number of languages is a guess.
 
-Words with at least 1 in 100,000 of all learned words are few enough to go to all tasks, and are summed up where the text
+Words with at least 1 in 500,000 of all learned words are few enough to go to all tasks, and are summed up where the text
 is. The other words of a text are joined with the model's tables; each distinct one is looked up once. This split decides
-where a word is scored, not how: results don't depend on it.
+where a word is scored, not how: scores are whole numbers of 2**-20, less the first language's, so their sums are the same
+in any order and results don't depend on the split.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned. Rows with a
 null text or language teach nothing. A very long text's words are counted at once, then it has a row for each distinct rare
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import free_name, row_key, salted_join, schema_of, small_batches, staged, steps, workspace
+from lathe.llm.common import free_name, removed, row_key, salted_join, schema_of, small_batches, staged, steps, workspace
 from lathe.llm.counting import unit_counts
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 #: The least share of all learned words that makes a word go to all tasks: at most its inverse are so frequent.
-SHARE = 1e-5
+SHARE = 2e-6
+#: Scores are whole numbers of this part of 1.
+SCALE = 1 << 20
 #: What a string counts in a language that hasn't seen it.
 UNSEEN = 0.1
 _GRAM_ROW = "class string, gram string, n long"
@@ -81,7 +84,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 @dataclass
 class LanguageModel:
-    """Languages by name, and tables of log frequencies: words and grams (unit, s: one number a language, n: how often in all)."""
+    """Languages by name, and tables of scores: words (unit, s: one number a language, n: how often in all) and grams (logs as they are)."""
 
     languages: list[str]
     words: DataFrame
@@ -96,6 +99,11 @@ def _by_language(counts: DataFrame, unit: str, sums: Column, languages: list[str
     return found.select("unit", F.zip_with("own", sums, lambda n, t: F.log((n + F.lit(UNSEEN)) / t)).alias("s"), "n")
 
 
+def _whole(scores: Column) -> Column:
+    """Logs as whole numbers, less the first."""
+    return F.transform(scores, lambda x: F.round((x - scores[0]) * SCALE).cast("long"))
+
+
 def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
     """From all rows (text, lang) where neither is null. The tables are staged."""
     path = path or workspace(docs.sparkSession)
@@ -106,12 +114,15 @@ def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
     lengths = {(r[0], r[1]): r[2] for r in grams.groupBy("class", F.length("gram")).agg(F.sum("n")).collect()}  # four for each
     languages = sorted(totals)
     if not languages:
-        none = docs.sparkSession.createDataFrame([], "unit string, s array<double>, n long")
+        none = docs.sparkSession.createDataFrame([], "unit string, s array<long>, n long")
         return LanguageModel([], none, none, 0)
     of = lambda numbers: F.array(*(F.lit(float(1 + x)) for x in numbers))
     by_length = F.element_at(F.array(*(of(lengths.get((x, k), 0) for x in languages) for k in range(1, LONGEST + 1))), F.length("unit"))
-    word_table = staged(_by_language(words, "unit", of(totals[x] for x in languages), languages), f"{path}/word_scores")
+    word_table = _by_language(words, "unit", of(totals[x] for x in languages), languages)
+    word_table = staged(word_table.withColumn("s", _whole(F.col("s"))), f"{path}/word_scores")
     gram_table = staged(_by_language(grams, "gram", by_length, languages), f"{path}/gram_scores")
+    for name in ("words", "grams"):
+        removed(docs.sparkSession, f"{path}/{name}")
     return LanguageModel(languages, word_table, gram_table, sum(totals.values()))
 
 
@@ -127,7 +138,7 @@ def backoff(words: DataFrame, model: LanguageModel) -> DataFrame:
     means = known.groupBy("unit", F.length("gram").alias("k")).agg(F.array(*(F.avg(F.col("s")[i]) for i in range(width))).alias("s"))
     best = means.groupBy("unit").agg(F.max(F.struct("k", "s")).alias("best"))
     zeros = F.array(*(F.lit(0.0) for _ in range(width)))
-    return words.join(best, "unit", "left").select("unit", F.coalesce("best.s", zeros).alias("s"))
+    return words.join(best, "unit", "left").select("unit", _whole(F.coalesce("best.s", zeros)).alias("s"))
 
 
 def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",), share: float = SHARE, path: str | None = None) -> DataFrame:
@@ -143,7 +154,7 @@ def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] =
     common = model.words.where(F.col("n") >= share * model.total).select("unit", "s").toArrow()  # at most 1 / share rows
     scores = np.asarray(common.column(1).combine_chunks().flatten()).reshape(-1, width)
     shared = spark.sparkContext.broadcast((dict(zip(common.column(0).to_pylist(), range(len(scores)), strict=True)), scores))
-    schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kept.schema, strict=False)) + "rid long, n_words long, own array<double>, rare array<string>, times array<long>"
+    schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kept.schema, strict=False)) + "rid long, n_words long, own array<long>, rare array<string>, times array<long>"
     fields = schema_of(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +174,7 @@ def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] =
                         else:
                             at.append(i)
                             times.append(n)
-                    own = np.asarray(times, np.float64) @ table[at] if at else np.zeros(width)
+                    own = np.asarray(times, np.int64) @ table[at] if at else np.zeros(width, np.int64)
                     letters = bool(x) and any(map(str.isalpha, x))
                     for column, value in zip(made, (len(words) if letters else None, own, rare, rare_times), strict=True):
                         column.append(value)
@@ -182,7 +193,7 @@ def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] =
     sums = met.groupBy("rid").agg(*(F.sum(F.col("times") * F.col("s")[i]).alias(f"s{i}") for i in range(width)))
 
     whole = rows.drop("rare", "times").join(sums, "rid", "left")
-    each = [(F.col("own")[i] + F.coalesce(f"s{i}", F.lit(0.0))) / F.sqrt(F.greatest("n_words", F.lit(1))) for i in range(width)]
+    each = [(F.col("own")[i] + F.coalesce(f"s{i}", F.lit(0))) / F.lit(float(SCALE)) / F.sqrt(F.greatest("n_words", F.lit(1))) for i in range(width)]
     whole = whole.withColumn("each", F.array(*each)).withColumn("most", F.array_max("each"))
     language = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("each", F.col("most")).cast("int"))
     certain = 1 / F.aggregate("each", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))

@@ -354,7 +354,11 @@ def word_scores(rows, languages):
                 return np.mean([[np.log((grams[x][g] + 0.1) / sums[x, k]) for x in languages] for g in known], axis=0)
         return np.zeros(len(languages))
 
-    return scores
+    def whole(word):
+        found = scores(word)
+        return np.round((found - found[0]) * 2**20) / 2**20
+
+    return whole
 
 
 def predicted(text, scores, languages):
@@ -379,7 +383,7 @@ def test_languages_against_brute_force(spark, odd, share):
     assert len(found) == len(rows + new)
     for i, (text, _) in enumerate(rows + new):
         want = predicted(text, scores, model.languages)
-        assert found[i].lang_pred == want[0] and abs(found[i].score - want[1]) < 1e-6, text
+        assert found[i].lang_pred == want[0] and abs(found[i].score - want[1]) < 1e-4, text
 
 
 def test_languages_of_odd_rows(odd, empty):
