@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lathe.sources.shared import shared_folder
+
 #: Bytes of text that one step of a Python operator handles, unless a single text is longer.
 STEP_BYTES = 4 << 20
 #: A side of a join is broadcast only when its rows were counted and need no more than this.
@@ -27,13 +26,7 @@ def workspace(spark: SparkSession) -> str:
 
     It lies in the session's ``spark.checkpoint.dir``. Only a local session may do without that setting.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "lathe-work")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lathe-{uuid.uuid4().hex}"
+    return shared_folder(spark)
 
 
 @contextmanager

@@ -10,7 +10,8 @@ by digest and text together, so texts that differ part even if their digests are
 All grouping is summed up before it is shuffled: a text that a third of all rows share costs one row a task.
 
 Null text counts as empty; empty texts are equal. Null doc_ids come last: such a row stays only in a group without
-others. Of rows repeated with equal doc_id and text, one is kept. Empty tables give empty tables. Other columns are ignored.
+others. Of rows repeated with equal doc_id and text, one is kept. A very long text moves only if its digest has several
+rows. Empty tables give empty tables. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Codes have at most 18 bits (a parameter), found by package-merge, so one table o
 stretches of a block advance together, as numpy vectors.
 
 Rows are written in ascending doc_id order, null doc_ids first; rows of equal doc_id by a hash of their text. A null text
-counts as empty and holds just the end id. Repeated rows are all written; an empty table gives tables without rows.
+counts as empty and holds just the end id. A very long text is one document in one block. Repeated rows are all written; an
+empty table gives tables without rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from lathe.llm.texts import LibraryEncoder
 
 STRETCH = 256
 BLOCK_IDS = 1 << 18
+#: Bounds of what the driver holds: parts are larger than 32 MB only beyond so many, and so many rows are sampled for their bounds.
+MOST_PARTS = 50_000
+SAMPLED = 400_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = 20) -> np.ndarray:
@@ -199,8 +203,9 @@ def _place(doc_id: int | None, tie: int) -> tuple:
     return (doc_id is not None, doc_id or 0, tie)
 
 
-def _bounds(encoded: DataFrame, parts: int, each: int = 60) -> list[tuple]:
-    """The least places of all parts but the first, from about ``each`` hashed rows a part."""
+def _bounds(encoded: DataFrame, parts: int) -> list[tuple]:
+    """The least places of all parts but the first, from some 60 hashed rows a part; fewer where that makes over ``SAMPLED``."""
+    each = max(4, min(60, SAMPLED // parts))
     keys = encoded.select("doc_id", "tie")
     rate = max(1, keys.count() // (each * parts))
     some = keys.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(rate)) == 0).distinct().limit(4 * each * parts)
@@ -217,7 +222,7 @@ def write_id_files(encoded: DataFrame, path: str, limit: int = 18, block_ids: in
     found = counts.toPandas().sort_values("id")  # at most one row for each id of the vocabulary
     ids, lengths = found["id"].to_numpy(np.int64), code_lengths(found["n"].to_numpy(), limit)
     spark.createDataFrame(list(zip(ids.tolist(), map(int, lengths), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((found["n"].to_numpy() * lengths).sum() >> 28))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int((found["n"].to_numpy() * lengths).sum() >> 28)))
     bounds = _bounds(encoded, parts)
     shared = spark.sparkContext.broadcast((ids, lengths))
 

@@ -5,7 +5,7 @@ The sums of the partitions (one row for each) give each partition's place in one
 into windows of ``length`` ids. Each row knows its place, so pass two cuts rows anywhere and in any order; where a window's
 edge falls in a document, each side is a piece. Only the last window may be short, so at most length - 1 ids are padding.
 
-Nothing is shuffled. A null text counts as empty and holds just the end id. Repeated rows are all packed; an empty table
+Nothing is shuffled. A very long text is one row of ids before it is cut. A null text counts as empty and holds just the end id. Repeated rows are all packed; an empty table
 has no pieces; other columns of the input are ignored.
 """
 
