@@ -84,7 +84,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 @dataclass
 class LanguageModel:
-    """Languages by name, and tables of scores: words (unit, s: one number a language, n: how often in all) and grams (logs as they are)."""
+    """Languages by name, and tables of scores, words and grams: unit, s (one number a language), n (how often in all)."""
 
     languages: list[str]
     words: DataFrame
@@ -120,25 +120,37 @@ def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
     by_length = F.element_at(F.array(*(of(lengths.get((x, k), 0) for x in languages) for k in range(1, LONGEST + 1))), F.length("unit"))
     word_table = _by_language(words, "unit", of(totals[x] for x in languages), languages)
     word_table = staged(word_table.withColumn("s", _whole(F.col("s"))), f"{path}/word_scores")
-    gram_table = staged(_by_language(grams, "gram", by_length, languages), f"{path}/gram_scores")
+    gram_table = _by_language(grams, "gram", by_length, languages)
+    gram_table = staged(gram_table.withColumn("s", _whole(F.col("s"))), f"{path}/gram_scores")
     for name in ("words", "grams"):
         removed(docs.sparkSession, f"{path}/{name}")
     return LanguageModel(languages, word_table, gram_table, sum(totals.values()))
 
 
-def backoff(words: DataFrame, model: LanguageModel) -> DataFrame:
-    """unit, s for distinct words (unit): the mean of the longest n-grams that are known; zeros if none is."""
-    width = len(model.languages)
+def backoff(words: DataFrame, model: LanguageModel, path: str) -> DataFrame:
+    """unit, s for distinct words (unit): the mean of the longest n-grams that are known; zeros if none is.
+
+    Lengths go one by one: only words without a known n-gram are looked up by shorter ones.
+    """
+    width, left, found = len(model.languages), words, []
     ends = F.concat(F.lit("_"), "unit", F.lit("_"))
-    all_of = lambda k: F.transform(F.sequence(F.lit(1), F.length(ends) - (k - 1)), lambda i: F.substr(ends, i, F.lit(k)))
-    each = F.flatten(F.array(*(F.when(F.length(ends) >= k, all_of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1))))
-    places = words.select("unit", F.explode(each).alias("gram"))
-    sizes = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    known = salted_join(places, model.grams.select(F.col("unit").alias("gram"), "s"), "gram", sizes, words.count(), "unit")
-    means = known.groupBy("unit", F.length("gram").alias("k")).agg(F.array(*(F.avg(F.col("s")[i]) for i in range(width))).alias("s"))
-    best = means.groupBy("unit").agg(F.max(F.struct("k", "s")).alias("best"))
-    zeros = F.array(*(F.lit(0.0) for _ in range(width)))
-    return words.join(best, "unit", "left").select("unit", _whole(F.coalesce("best.s", zeros)).alias("s"))
+    grams = model.grams.select(F.col("unit").alias("gram"), "s")
+    for k in range(LONGEST, 0, -1):
+        if left.isEmpty():
+            break
+        each = F.transform(F.sequence(F.lit(1), F.length(ends) - (k - 1)), lambda i: F.substr(ends, i, F.lit(k)))  # noqa: B023
+        places = left.where(F.length(ends) >= k).select("unit", F.explode(each).alias("gram"))
+        sizes = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        known = salted_join(places, grams.where(F.length("gram") == k), "gram", sizes, left.count(), "unit")
+        sums = known.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)))
+        means = F.when(F.col("n").isNotNull(), F.array(*(F.round(F.col(f"s{i}") / F.col("n")).cast("long") for i in range(width))))
+        step = staged(left.join(sums, "unit", "left").select("unit", means.alias("s")), f"{path}/backoff{k}")
+        found.append(step.where("s is not null"))
+        left = step.where("s is null").select("unit")
+    out = left.select("unit", F.array(*(F.lit(0).cast("long") for _ in range(width))).alias("s"))
+    for step in found:
+        out = out.unionByName(step)
+    return out
 
 
 def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",), share: float = SHARE, path: str | None = None) -> DataFrame:
@@ -187,7 +199,7 @@ def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] =
     units = staged(rare.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), f"{path}/units")
     looked_up = staged(units.join(model.words.select("unit", "s"), "unit", "left"), f"{path}/looked_up")
     known, unseen = looked_up.where("s is not null").select("unit", "s"), staged(looked_up.where("s is null").select("unit"), f"{path}/unseen")
-    found = staged(known.unionByName(backoff(unseen, model)), f"{path}/scores")
+    found = staged(known.unionByName(backoff(unseen, model, path)), f"{path}/scores")
     total = units.agg(F.sum("n")).first()[0] or 0
     met = salted_join(rare, found, "unit", units, total, "rid")
     sums = met.groupBy("rid").agg(*(F.sum(F.col("times") * F.col("s")[i]).alias(f"s{i}") for i in range(width)))
