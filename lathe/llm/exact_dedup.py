@@ -96,6 +96,8 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest", memtables: int = 4
     verified = same.agg(index.winner("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
     verified = verified.select("digest", F.unhex(F.sha2("text", 256)).alias("text_sha256"), "keep_id", "rows")
     verified = staged(verified, f"{path}/verified")
+    for name in ("index", "hits"):
+        removed(spark, f"{path}/{name}")
 
     # Rows repeated with one id and text are one row with a count until the end.
     rows = texts.select("doc_id", "digest", F.unhex(F.sha2("text", 256)).alias("text_sha256"))
@@ -115,6 +117,4 @@ def deduplicated(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     decided = duplicate_groups(docs, keep, path=path)
     key = key_of(F.col("text_sha256"))
     counted = staged(decided.where("group_size > 1").groupBy(key.alias("key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), f"{path}/decided")
-    out = retained(docs, counted.where("not kept"), counted.where("n > 1 and kept"))
-    removed(docs.sparkSession, f"{path}/index")
-    return out
+    return retained(docs, counted.where("not kept"), counted.where("n > 1 and kept"))
