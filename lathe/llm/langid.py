@@ -200,6 +200,8 @@ def identified(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] =
     looked_up = staged(units.join(model.words.select("unit", "s"), "unit", "left"), f"{path}/looked_up")
     known, unseen = looked_up.where("s is not null").select("unit", "s"), staged(looked_up.where("s is null").select("unit"), f"{path}/unseen")
     found = staged(known.unionByName(backoff(unseen, model, path)), f"{path}/scores")
+    for name in ("looked_up", "unseen", *(f"backoff{k}" for k in range(1, LONGEST + 1))):
+        removed(spark, f"{path}/{name}")
     total = units.agg(F.sum("n")).first()[0] or 0
     met = salted_join(rare, found, "unit", units, total, "rid")
     sums = met.groupBy("rid").agg(*(F.sum(F.col("times") * F.col("s")[i]).alias(f"s{i}") for i in range(width)))
