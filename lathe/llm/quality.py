@@ -11,6 +11,8 @@ gives an empty table; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def with_repeated_words(rows: DataFrame, n: int = WINDOW) -> DataFrame:
 def _failed(line: Column) -> Column:
     words = F.regexp_count(line, F.lit(_WORD))
     separators = F.regexp_count(line, F.lit(_SEPARATORS))
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
+    phrase = F.exists(F.array(F.lower(line)), lambda low: reduce(Column.__or__, map(low.contains, BOILERPLATE)))
     return ((words >= 8) & ~line.rlike(_ENDS)) | ((separators >= 3) & (3 * separators >= words)) | phrase
 
 
