@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 
@@ -189,6 +190,28 @@ def test_string_histogram(spark):
     assert all(a.upper_bound.encode() < b.lower_bound.encode() for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_histogram_is_exact_beyond_its_sketch(spark):
+    """Buckets end at ranks ceil(i * n / 10), whatever the sketch guesses: ties, NaN, nulls, numbers beyond 2**53."""
+    n = 150_001
+    even = statistics.histogram(spark.range(n).selectExpr(f"(id * 7919) % {n} AS v"), "v").orderBy("bucket").collect()
+    ends = [-(-i * n // 10) for i in range(11)]
+    assert [tuple(r) for r in even] == [(i, a, b - 1, b - a) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    odd = {
+        "long": [2**60 + (i * 61) % 2003 for i in range(5000)] + [None] * 30,
+        "double": [float((i * 37) % 1000) ** 2 for i in range(3000)] + [math.nan] * 700 + [7.0] * 900 + [-math.inf] + [None] * 5,
+        "date": [datetime.date(2000, 1, 1) + datetime.timedelta(days=(i * 37) % 3001) for i in range(4000)],
+    }
+    for kind, values in odd.items():
+        key = lambda x: (x != x, 0 if x != x else x)
+        kept = sorted((v for v in values if v is not None), key=key)
+        marks = sorted({key(kept[-(-i * len(kept) // 10) - 1]) for i in range(1, 10)})
+        want = {}
+        for v in kept:
+            want.setdefault(sum(m < key(v) for m in marks), []).append(key(v))
+        found = statistics.histogram(spark.createDataFrame([(v,) for v in values], f"v {kind}").repartition(5), "v", accuracy=20).collect()
+        assert {r.bucket: (key(r.lower_bound), key(r.upper_bound), r.frequency) for r in found} == {k: (x[0], x[-1], len(x)) for k, x in want.items()}
+
+
 def test_ranges_exclude_scans(spark, demo):
     spec = TableSpec("A", "A", [ColumnSpec("a1", "Int32", [{"RangeStat": {"lower_bound": {"Int32": 1}, "upper_bound": {"Int32": 9}}}])])
     catalog = Catalog(demo.tables, [spec])
