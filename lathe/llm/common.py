@@ -64,6 +64,7 @@ def small_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes and by few rows, so that long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * STEP_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

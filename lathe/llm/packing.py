@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lathe.llm.common import schema_of, small_batches, staged, steps, text_or_empty, workspace
 from lathe.llm.texts import LibraryEncoder
 
+#: Matches that an encoder keeps in a generation: a third of the usual, as workers here stand beside full JVM heaps.
+KEEP = 200_000
 _ENCODED = "part int, before long, doc_id long, ids binary"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -33,7 +35,7 @@ def encode_in_place(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     end, fields = np.asarray([end_id], "<u4").tobytes(), schema_of(_ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = LibraryEncoder.of(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = LibraryEncoder.of(path, KEEP), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in steps(batch, 1):
                 ids = [encoder.encode(x) + end for x in rows.column(1).to_pylist()]

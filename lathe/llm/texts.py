@@ -39,6 +39,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+#: Matches in a generation of the cache. Two full ones of this size take some 170 MB in each worker process.
+KEEP = 600_000
+
+
 class _Matches(dict):
     """Ids of matches of the split pattern, by the library's model. What is not here may be in ``before``."""
 
@@ -66,9 +70,9 @@ class LibraryEncoder:
     ``<|endoftext|>``, which the library takes for its own id), or if its file asks for more than byte-level splitting.
     """
 
-    _made: dict[str, LibraryEncoder] = {}
+    _made: dict[tuple[str, int], LibraryEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,11 +85,11 @@ class LibraryEncoder:
         self.keep, self.matches = keep, _Matches(self.library.model, {})
 
     @classmethod
-    def of(cls, path: str) -> LibraryEncoder:
+    def of(cls, path: str, keep: int = KEEP) -> LibraryEncoder:
         """The one of this worker process."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        if (path, keep) not in cls._made:
+            cls._made[path, keep] = cls(path, keep)
+        return cls._made[path, keep]
 
     def encode(self, text: str) -> bytes:
         if not self.plain or any(token in text for token in self.added):

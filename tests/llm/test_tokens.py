@@ -1,13 +1,16 @@
 import base64
 import hashlib
+import shutil
 import zlib
 
 import numpy as np
 import public_tokenizers as tokenizers_files
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lathe.llm import bpe, idfiles, packing
@@ -178,3 +181,21 @@ def test_packing(spark, odd, empty, sf_dir):
         check_pack(packing.pack(d, TOKENIZER).collect(), d.select("doc_id", "text").collect())
     assert packing.pack(empty, TOKENIZER).collect() == []
     assert QUERIES["op10_concat_and_cut"](spark, sf_dir).count() == packing.pack(docs, TOKENIZER).count()
+
+
+def test_packing_bounds_what_its_workers_keep(spark, tmp_path):
+    """Of 700,000 distinct words a worker keeps two generations at most, and batches stay small where files are read."""
+    own = shutil.copy(TOKENIZER, tmp_path / "own.json")
+    docs = spark.range(0, 700, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 999), i -> concat('w', id * 1000 + i))) AS text")
+    docs = docs.select("doc_id", F.translate("text", "0123456789", "abcdefghij").alias("text"))
+    pieces = packing.pack(docs, str(own))
+    assert pieces.where("start = 0").count() == 700
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "512"
+
+    def kept(batches):
+        for _ in batches:
+            many = [len(e.matches) + len(e.matches.before) for key, e in LibraryEncoder._made.items() if str(own) in key]
+            yield pa.RecordBatch.from_pydict({"n": pa.array(many or [0], pa.int64())})
+
+    most = max(r.n for _ in range(5) for r in spark.range(0, 40, 1, 8).mapInArrow(kept, "n long").collect())
+    assert 0 < most < 2 * packing.KEEP + 2000
