@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lathe.llm import pii
+from lathe.llm import packing, pii
+from lathe.llm.queries import TOKENIZER
+from lathe.llm.texts import LibraryEncoder
 from tests.llm.test_duplicates import brute_classes
 from tests.llm.test_tokens import encoded
 
@@ -34,3 +37,16 @@ def test_stages_take_odd_rows(spark, odd, empty, sf_dir):
         assert out.count() > 0 and stage(spark, empty, sf_dir).count() == 0
         if name != "sequences":
             assert out.columns == odd.columns
+
+
+def test_sequences_keep_few_matches(spark, odd):
+    """Workers of the last stage keep what packing bounds, not the larger cache of id files."""
+    corpus_pipeline.sequences(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), "").count()
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "512"
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([e.keep for key, e in LibraryEncoder._made.items() if key == (TOKENIZER, packing.KEEP)], pa.int64())})
+
+    found = {r.n for _ in range(5) for r in spark.range(0, 40, 1, 8).mapInArrow(kept, "n long").collect()}
+    assert found == {packing.KEEP} and packing.KEEP <= 200_000
