@@ -60,11 +60,12 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes and by few rows, so that long texts don't add up."""
+def small_batches(spark: SparkSession, reads: bool = True) -> None:
+    """Arrow batches by bytes and by few rows, and with ``reads`` files read by few rows too, so that long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * STEP_BYTES))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    if reads:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -134,7 +134,7 @@ def encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     Each task adds one row with null ids: ``counts`` has how often each id occurs in its rows, as 64-bit integers.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, reads=False)
     end, fields = np.asarray([end_id], "<u4").tobytes(), schema_of(_ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def _bounds(encoded: DataFrame, parts: int) -> list[tuple]:
 def write_id_files(encoded: DataFrame, path: str, limit: int = 18, block_ids: int = BLOCK_IDS) -> None:
     """Writes the rows of ``encode_texts`` as a file set in ascending doc_id order. It reads them twice or more, so stage them."""
     spark = encoded.sparkSession
-    small_batches(spark)
+    small_batches(spark, reads=False)
     counts = encoded.where("counts is not null").select("counts").mapInArrow(_summed, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     encoded = encoded.where("ids is not null").select("doc_id", "tie", "ids")
     found = counts.toPandas().sort_values("id")  # at most one row for each id of the vocabulary
@@ -262,7 +262,7 @@ def _code(shared) -> HuffmanCode:
 
 def read_id_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids binary (unsigned 32-bit little-endian)."""
-    small_batches(spark)
+    small_batches(spark, reads=False)
     book = spark.read.parquet(f"{path}/codebook").toPandas().sort_values("id")
     starts = {r[0]: r[1] for r in spark.read.parquet(f"{path}/parts").collect()}
     shared = spark.sparkContext.broadcast((book["id"].to_numpy(np.int64), book["length"].to_numpy(np.uint8)))
